@@ -41,7 +41,7 @@ def text_key(text: Column) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
