@@ -47,8 +47,10 @@ from d left join kept using (doc_id)
 
 ORACLES["op10_suffixes"] = r"""
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-win as (select doc_id, i, hash(substr(h, 2 * i - 1, 100)) as g1, substr(h, 2 * i - 1, 100) as g
-        from (select doc_id, h, unnest(range(1, len(h) // 2 - 48)) as i from d where len(h) >= 100)),
+hashed as (select doc_id, i, hash(substr(h, 2 * i - 1, 100)) as k
+           from (select doc_id, h, unnest(range(1, len(h) // 2 - 48)) as i from d where len(h) >= 100)),
+many as (select k from hashed group by k having count(*) > 1),
+win as (select doc_id, i, substr(h, 2 * i - 1, 100) as g from hashed semi join many using (k) join d using (doc_id)),
 least_doc as (select g, min(doc_id) as m from win group by g having count(distinct doc_id) > 1),
 gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from win join least_doc using (g) where doc_id > m),
 spans as (select doc_id, count(*) as n_removed, count(*) filter (where new) as n_spans

@@ -98,7 +98,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             )
 
     schema = docs.drop(text).schema
-    for name, kind in (("n_words", "bigint"), ("n_removed", "bigint"), ("kept", "string")):
+    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept", "string")):
         schema = schema.add(name, kind)
     return joined.select(*columns, "__body", "found").mapInArrow(strip, schema)
 

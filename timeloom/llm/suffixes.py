@@ -274,6 +274,6 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             )
 
     schema = docs.drop(text).schema
-    for name, kind in (("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept", "binary")):
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
         schema = schema.add(name, kind)
     return joined.select(*columns, "__body", "gone").mapInArrow(strip, schema)

@@ -18,6 +18,7 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def token_counts(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     def work(chunk: pa.RecordBatch) -> dict:
         texts = chunk.column("text").to_pylist()
         counts = pa.array(count_texts(texts, path, split), pa.int64())
-        sizes = pa.compute.fill_null(pa.compute.binary_length(chunk.column("text")).cast(pa.int64()), 0)
+        sizes = pc.fill_null(pc.binary_length(chunk.column("text")).cast(pa.int64()), 0)
         return {"doc_id": chunk.column("doc_id"), "n_bytes": sizes, "n_tokens": counts}
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
