@@ -65,3 +65,18 @@ select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed
        sha256(unhex(case when n_removed is null then h else coalesce(k, '') end)) as kept_sha256
 from d left join spans using (doc_id) left join kept using (doc_id)
 """
+
+# base32 from the hex digits: 32 groups of 5 bits
+ORACLES["op4_warc"] = r"""
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b) as n, sha1(b) as h from p),
+k as (select page_id, n, array_to_string(list_transform(range(32),
+        lambda i : substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          1 + ((cast('0x' || substr(h || '0', cast((5 * i) // 4 + 1 as int), 2) as int) >> cast(3 - (5 * i) % 4 as int)) & 31), 1)), '') as g
+      from d),
+t as (select g, max(page_id) as top from k group by g)
+select page_id, cast(n as bigint) as payload_bytes, g as payload_digest,
+       case when page_id = top then 'response' else 'revisit' end as record_type,
+       case when page_id = top then null else top end as refers_to
+from k join t using (g)
+"""

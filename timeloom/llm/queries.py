@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm import decontaminate, langid, substrings, suffixes, tokencount, toxicity
+from timeloom.llm import decontaminate, langid, simhash, substrings, suffixes, tokencount, toxicity, warc
 from timeloom.llm.oracles import ORACLES as ORACLES
 
 
@@ -23,6 +23,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = lambda doc_id: ~langid.held_out(doc_id)
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train)
@@ -61,6 +72,8 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_simhash": op2_simhash,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_substrings": op6_substrings,
     "op8_langid": op8_langid,
