@@ -40,7 +40,7 @@ MOST_REPEATED = 50  # per cent of words in repeated 3-word windows
 #: Squared distance beyond which a document is an outlier: far beyond the normal quantiles, as clean texts have heavy tails.
 CUTOFF = 400.0
 SMALLEST = 200
-STEPS = 4
+STEPS = 3
 #: Consistency of the half-sample covariance in 4 dimensions: 0.5 / P(chi2_6 <= chi2_4's median).
 HALF_FACTOR = 2.109
 REWEIGHT = 11.143  # 97.5 % quantile of chi-square with 4 degrees of freedom
@@ -167,7 +167,6 @@ def _bin(d2: Column) -> Column:
 
 def _estimates(rows: DataFrame, name: str) -> DataFrame:
     """Centre and Cholesky factor by the minimum covariance determinant; ``rows``: g and statistics."""
-
     long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(s).alias("bin")) for i, s in enumerate(_S)])).alias("x")).select("g", "x.i", "x.bin")
     med = _middle(long.groupBy("g", "i", "bin").agg(F.count(F.lit(1)).alias("n")), ["g", "i"]).withColumnRenamed("bin", "med")
     off = long.join(med, ["g", "i"]).select("g", "i", F.abs(F.col("bin") - F.col("med")).alias("bin"))
@@ -199,13 +198,13 @@ def judged(docs: DataFrame, *, text: str = "text", by: tuple[str, ...] = ("lang"
     rows = stored(counted.withColumn("__g", group).withColumns({f"__{c}": x for c, x in zip(_S, statistics(), strict=True)}), "quality")
     passed = rows.where(~F.col("base_failed")).select(F.col("__g").alias("g"), *[F.col(f"__{s}").alias(s) for s in _S])
     sizes = passed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # groups that are too small take the estimate of all rows together, a group of its own ("" is no JSON)
     large = sizes.where(F.col("n") >= SMALLEST).select("g")
-    # groups that are too small are one group together with all others
-    grouped = passed.join(large.withColumn("own", F.lit(True)), "g", "left")
-    estimates = _estimates(grouped.where("own").select("g", *_S), "quality-groups")
-    everyone = _estimates(passed.withColumn("g", F.lit("all")), "quality-all").drop("g")
-    small = sizes.where(F.col("n") < SMALLEST).select("g").crossJoin(F.broadcast(everyone.limit(1)))
-    known = estimates.unionByName(small).withColumnRenamed("g", "__g")
+    every = passed.withColumn("g", F.lit(""))
+    estimates = _estimates(passed.join(large, "g", "left_semi").unionByName(every), "quality")
+    small = sizes.where(F.col("n") < SMALLEST).select("g")
+    known = estimates.where("g <> ''").unionByName(small.crossJoin(F.broadcast(estimates.where("g = ''").drop("g"))).select(*estimates.columns))
+    known = known.withColumnRenamed("g", "__g")
     plain = rows.withColumnsRenamed({f"__{s}": s for s in _S})
     d2 = F.when(~F.col("base_failed"), _distance(plain))
     out = plain.join(known, "__g", "left").withColumn("distance", d2)
