@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,10 +44,12 @@ def repeated_rows(joined: DataFrame, row_id: str) -> DataFrame:
     return joined.agg((F.count(F.lit(1)) - F.countDistinct(row_id)).alias("n_overlaps"))
 
 
-def within_after(left: DataFrame, right: DataFrame, on: str, ts: str, after: str, open_start: bool = True) -> Column:
-    """Join condition: right's time lies up to ``after`` (an interval) behind left's."""
-    lo = right[ts] > left[ts] if open_start else right[ts] >= left[ts]
-    return (left[on] == right[on]) & lo & (right[ts] <= left[ts] + F.expr(f"INTERVAL {after}"))
+def band_join(left: DataFrame, right: DataFrame, on: str, ts: str, after: str, open_start: bool = False, how: str = "inner") -> DataFrame:
+    """Pairs of one key whose right time lies up to ``after`` (an interval) behind the left one; right time as {ts}_right."""
+    other = right.withColumnsRenamed({on: "__on", ts: f"{ts}_right"})
+    lo = F.col(f"{ts}_right") > F.col(ts) if open_start else F.col(f"{ts}_right") >= F.col(ts)
+    within = (F.col(on) == F.col("__on")) & lo & (F.col(f"{ts}_right") <= F.col(ts) + F.expr(f"INTERVAL {after}"))
+    return left.join(other, within, how).drop("__on")
 
 
 def flag_followed(left: DataFrame, right: DataFrame, on: str, ts: str, seconds: int, flag: str, open_start: bool = True) -> DataFrame:

@@ -21,9 +21,9 @@ def group_split(reference: DataFrame, group: str, start: str, train: float = 0.7
     first = reference.groupBy(group).agg(F.min(start).alias("__first")).withColumn("__day", F.to_date("__first"))
     days = first.groupBy("__day").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy(F.col("__day").asc_nulls_last())
-    before = days.select("__day", (F.sum("__n").over(w) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    before = days.select(F.col("__day").alias("__d"), (F.sum("__n").over(w) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
     rank = F.row_number().over(Window.partitionBy("__day").orderBy("__first", group)) + F.col("__before")
-    ranked = first.join(before, first["__day"].eqNullSafe(before["__day"])).withColumn("__rank", rank.cast("long"))
+    ranked = first.join(before, F.col("__day").eqNullSafe(F.col("__d"))).withColumn("__rank", rank.cast("long"))
     n_train, n_val = F.floor(F.col("__all") * F.lit(train)), F.floor(F.col("__all") * F.lit(val))
     return ranked.select(
         group, F.when(F.col("__rank") <= n_train, "train").when(F.col("__rank") <= n_train + n_val, "val").otherwise("test").alias("split")

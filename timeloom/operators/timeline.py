@@ -277,20 +277,26 @@ class TimelineTokenizer:
         return pad(out, o.max_padded_len, self.fixed) if o.max_padded_len else out
 
 
-def pack_tokens(tokens: DataFrame, length: int, order: list[str], key: str) -> DataFrame:
-    """Concatenates all tokens in the given order and gives full chunks of ``length``: chunk, pos, token.
+def global_index(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Adds the row's number, from 0, in the given order, which ``key`` (an orderable column) leads.
 
-    ``key`` leads the order.  Positions are two-level prefix sums: within
-    ranges of ``key``, then over the ranges' totals, so that no task sees all rows.
+    Numbers are two-level prefix sums: within ranges of ``key``, then over the
+    ranges' totals, so that no task sees all rows.
     """
-    splits = [r for r in tokens.select(F.percentile_approx(key, [i / 64 for i in range(1, 64)], 1000).alias("q")).first()["q"] or []]
-    edges = F.array(*[F.lit(x) for x in sorted(set(splits))]) if splits else F.array(F.lit(None).cast(tokens.schema[key].dataType))
-    rows = tokens.withColumn("__r", F.size(F.filter(edges, lambda e: e <= F.col(key))))
-    totals = rows.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
+    splits = rows.select(F.percentile_approx(key, [i / 64 for i in range(1, 64)], 1000).alias("q")).first()["q"] or []
+    edges = F.array(*[F.lit(x) for x in sorted(set(splits))]) if splits else F.array(F.lit(None).cast(rows.schema[key].dataType))
+    ranged = rows.withColumn("__r", F.size(F.filter(edges, lambda e: e <= F.col(key))))
+    totals = ranged.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
     # a row per range: 64 at most
-    before = totals.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    before = totals.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias("__before"))
     at = F.row_number().over(Window.partitionBy("__r").orderBy(*order)) - 1 + F.col("__before")
-    out = rows.join(F.broadcast(before), "__r").withColumn("__at", at)
+    return ranged.join(F.broadcast(before), "__r").withColumn(name, at).drop("__r", "__before")
+
+
+def pack_tokens(tokens: DataFrame, length: int, order: list[str], key: str) -> DataFrame:
+    """Concatenates all tokens in the given order, which ``key`` leads, and gives full chunks of ``length``: chunk, pos, token."""
+    total = tokens.agg(F.count(F.lit(1)).alias("__all"))  # one row
+    out = global_index(tokens, key, order, "__at").crossJoin(F.broadcast(total))
     return out.where(F.floor(F.col("__at") / length) < F.floor(F.col("__all") / length)).select(
         F.floor(F.col("__at") / length).cast("long").alias("chunk"), (F.col("__at") % length).cast("long").alias("pos"), "token"
     )
