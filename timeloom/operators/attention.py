@@ -85,3 +85,20 @@ def last_layer(rows: DataFrame) -> DataFrame:
     """Rows of the last layer of each subject."""
     top = rows.groupBy("sid").agg(F.max("layer").alias("__l"))
     return rows.join(top, "sid").where("layer = __l").drop("__l")
+
+
+#: Metrics by name, as (window, weighed by value norms, last layer only, reducer over layers and heads).
+METRICS = {
+    "h2o-mean": (None, False, False, "mean"), "h2o-mean_log": (None, False, False, "mean_log"), "h2o-median": (None, False, False, "median"),
+    "h2o-max": (None, False, False, "max"), "scissorhands-10": (10, False, False, "mean"), "scissorhands-20": (20, False, False, "mean"),
+    "h2o-va-mean": (None, True, False, "mean"), "h2o-last-mean": (None, False, True, "mean"),
+}
+
+
+def metric(rows: DataFrame, name: str) -> DataFrame:
+    """(sid, j, importance) of a named metric."""
+    if name not in METRICS:
+        raise ValueError(f"no metric {name}; there are {sorted(METRICS)}")
+    window, weighed, last, how = METRICS[name]
+    rows = last_layer(rows) if last else rows
+    return importance(rows if weighed else rows.drop("v_norm"), window, how)

@@ -97,3 +97,8 @@ def prototype_projection(rows: DataFrame, vector: str, prototype: Column, sid: s
     rows = rows.withColumns({"__b": before, "__p": prototype})
     step, left = minus(F.col(vector), F.col("__b")), minus(F.col("__p"), F.col("__b"))
     return rows.withColumns({"proj_abs": dot(step, F.col("__p")) / norm2(F.col("__p")), "proj_rel": dot(step, left) / norm2(left)}).drop("__b", "__p")
+
+
+def final_states(rows: DataFrame, vector: str, token: str, pad: int, sid: str = "sid", pos: str = "pos") -> DataFrame:
+    """Per subject the vector at the last position that isn't padding."""
+    return rows.where(F.col(token) != pad).groupBy(sid).agg(F.max_by(vector, pos).alias(vector))

@@ -77,3 +77,15 @@ def overlay(base: DataFrame, shard: DataFrame, keys: list[str], value: str) -> D
     """Values of the shard where they aren't zero, else those of the base."""
     other = shard.select(*keys, F.col(value).alias("__v"))
     return base.join(other, keys, "full").withColumn(value, F.when(F.col("__v") != 0, F.col("__v")).otherwise(F.coalesce(value, "__v"))).drop("__v")
+
+
+def label_grid(df: DataFrame, rows: str, columns: str) -> DataFrame:
+    """Counts for every pair of labels of two columns, zero where none occur; labels are few."""
+    grid = df.select(rows).distinct().crossJoin(F.broadcast(df.select(columns).distinct()))
+    counts = df.groupBy(rows, columns).agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(counts, [rows, columns], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def log_means(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean and median of logarithms, and the most frequent value (the smallest of several)."""
+    return df.groupBy(by).agg(F.avg(F.log(value)).alias("mean_log"), F.median(F.log(value)).alias("median_log"), F.mode(value, True).alias("mode"))

@@ -935,3 +935,88 @@ def attention_importance(spark, d):
 @query()
 def attention_rollout(spark, d):
     return attention.rollout(attention_rows(spark, d))
+
+
+@query(f"with {ATTENTION_SQL}, k as (select sid, head, j, sum(a) as s from att where layer = 1 group by all) select sid, cast(j as int) as j, round(avg(s), 6) as importance from k group by all")
+def attention_last_layer(spark, d):
+    return attention.metric(attention_rows(spark, d), "h2o-last-mean").select("sid", "j", F.round("importance", 6).alias("importance"))
+
+
+@query(f"with {ATTENTION_SQL}, k as (select sid, layer, head, j, sum(a * (i + 1)) as s from att group by all) select sid, cast(j as int) as j, round(avg(s), 6) as importance from k group by all")
+def attention_value_aware(spark, d):
+    rows = attention_rows(spark, d).withColumn("v_norm", (F.col("i") + 1).cast("double"))
+    return attention.metric(rows, "h2o-va-mean").select("sid", "j", F.round("importance", 6).alias("importance"))
+
+
+@query("""
+with l as (select label as sid, arg_max(embedding, vec_id) filter (where vec_id % 5 <> 0) as x from embeddings group by label)
+select sid, cast(unnest(range(0, 4)) as int) as i, unnest(x[1:4])::double as x from l where x is not null
+""")
+def final_hidden_states(spark, d):
+    rows = vectors(spark, d).withColumn("token", F.when(F.col("pos") % 5 == 0, FIXED.index("PAD")).otherwise(30))
+    last = information.final_states(rows, "x", "token", FIXED.index("PAD"))
+    return ravel(last.withColumn("x", F.slice("x", 1, 4)), ["sid"], {"x": "x"}, "i")
+
+
+@query("""
+with v as (select label as sid, vec_id as pos, embedding::double[] as x, lag(embedding::double[]) over (partition by label order by vec_id) as b0 from embeddings),
+w as (select sid, pos, x, coalesce(b0, list_transform(x, lambda e : 0.0::double)) as b from v),
+s as (select sid, pos, list_transform(range(1, len(x) + 1), lambda i : x[i] - b[i]) as st, list_transform(b, lambda e : 1 - e) as lf, len(x) as n from w)
+select sid, pos, round(list_sum(st) / sqrt(n), 5) as proj_abs, round(list_sum(list_transform(range(1, n + 1), lambda i : st[i] * lf[i])) / sqrt(list_sum(list_transform(lf, lambda e : e * e))), 5) as proj_rel from s
+""")
+def prototype_projections(spark, d):
+    ones = F.transform("x", lambda e: e * 0 + 1)
+    out = information.prototype_projection(vectors(spark, d), "x", ones)
+    return out.select("sid", "pos", F.round("proj_abs", 5).alias("proj_abs"), F.round("proj_rel", 5).alias("proj_rel"))
+
+
+@query("""
+select vec_id, round(-(x[label + 1] - ln(list_sum(list_transform(x, lambda e : exp(e))))) / ln(2), 5) as bits
+from (select vec_id, label % 4 as label, embedding::double[] as x from embeddings)
+""")
+def softmax_information(spark, d):
+    x = F.col("embedding").cast("array<double>")
+    rows = read_table(spark, d, "embeddings").select("vec_id", columns.bits(arrays.log_softmax_at(x, F.col("label") % 4)).alias("bits"))
+    return rows.select("vec_id", F.round("bits", 5).alias("bits"))
+
+
+@query("""
+with c as (select l_returnflag as g, l_quantity as v, count(*) as n from lineitem group by all)
+select l_returnflag, round(avg(ln(l_quantity)), 6) as mean_log, round(median(ln(l_quantity)), 6) as median_log,
+       (select v from c where g = l_returnflag order by n desc, v limit 1) as mode from lineitem group by l_returnflag
+""")
+def log_reducers(spark, d):
+    out = lookups.log_means(read_table(spark, d, "lineitem"), "l_returnflag", "l_quantity")
+    return out.select("l_returnflag", F.round("mean_log", 6).alias("mean_log"), F.round("median_log", 6).alias("median_log"), "mode")
+
+
+@query("""
+select a.event_type, b.weekday, count(e.event_id) as n from (select distinct event_type from events) a cross join (select distinct dayofweek(ts) as weekday from events where value > 60) b
+left join (select * from events where value > 60) e on e.event_type = a.event_type and dayofweek(e.ts) = b.weekday where a.event_type in (select event_type from events where value > 60) group by all
+""")
+def label_grid(spark, d):
+    rows = events_of(spark, d).where("value > 60").select("event_type", (F.dayofweek("ts") - 1).cast("long").alias("weekday"))
+    return lookups.label_grid(rows, "event_type", "weekday")
+
+
+@query(f"""
+with {PLAIN}, {LISTS}, p as (select user_id, ws[1:60] as w60 from t)
+select cast(user_id as varchar) as sid, array_to_string(list_transform(range(60 - len(w60)), lambda x : 'PAD') || w60, ' ') as words from p
+""")
+def left_padding(spark, d):
+    lists = timeline.collect_timelines(event_tokens(spark, d, spaced=False))
+    right = arrays.pad_right(F.slice("words", 1, 60), 60, F.lit("PAD"))
+    return lists.select("sid", F.array_join(arrays.pad_to_left(right, F.lit("PAD")), " ").alias("words"))
+
+
+@query("""
+select count(*) filter (where user_id in (select user_id from events where event_type = 'signup')) as n_semi, count(*) filter (where greatest(value, 50) > 60 or event_type is null) as n_reduced,
+       count(distinct user_id) as n_users, count(*) filter (where event_type like 'p%') as n_prefix, count(*) filter (where value between 10 and 20) as n_between from events
+""")
+def predicate_counts(spark, d):
+    events = events_of(spark, d)
+    signed = events.where("event_type = 'signup'").select("user_id").distinct().withColumn("signed", F.lit(True))
+    return events.join(signed, "user_id", "left").agg(
+        F.count_if("signed").alias("n_semi"), F.count_if((F.greatest("value", F.lit(50.0)) > 60) | F.col("event_type").isNull()).alias("n_reduced"),
+        F.countDistinct("user_id").alias("n_users"), F.count_if(F.col("event_type").startswith("p")).alias("n_prefix"), F.count_if(F.col("value").between(10, 20)).alias("n_between"),
+    )
