@@ -10,8 +10,9 @@ carry, so tasks exchange packed blocks:
 2. The hashes are dealt by their highest bits: for each chunk and bucket one
    block with ids, counts, a bit for each decided entry, 8 bytes for each other.
 3. A bucket's task decides the rest and answers with one bit per entry.
-4. The answers of a document come back by its id.  Its task computes the
-   hashes anew and lays the bits on.
+4. The answers go back in blocks too, one per bucket and group of documents
+   (``gathered``), and are put together to a row per document, which its text
+   is joined with.  The hashes are computed anew, and the bits laid on.
 
 Documents are told apart by id and a checksum of the text.  Null ids count as
 one id, larger than all others; equal ids are never smaller than one another.
@@ -19,6 +20,7 @@ one id, larger than all others; equal ids are never smaller than one another.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,21 +37,28 @@ NULL_ID = (1 << 63) - 1
 #: Text bytes of the documents compared at once and packed together.
 PACK_BYTES = 4 << 20
 
-Hashes = Callable[[bytes], np.ndarray]
+#: Id, checksum and length before an answer.
+_ANSWER = "<qqi"
 
+Hashes = Callable[[bytes], np.ndarray]
 
-def packed_docs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``docs`` with id (no nulls), rk and body (the compressed text) in place of the text.
 
-    Shuffled as it is, a text would take twice the disk.
-    """
+def keyed_docs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with __id (no nulls) and __rk (a checksum of the text)."""
     if {"__id", "__rk", "__body"} & set(docs.columns):
         raise ValueError("columns __id, __rk, __body are in use")
-    rows = docs.select(
+    return docs.select(
         "*", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("__id"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("__rk"),
     )
-    at = docs.columns.index(text)
+
+
+def packed_docs(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` of ``keyed_docs`` with __body, the compressed text, in place of the text.
+
+    Shuffled as it is, a text would take twice the disk.
+    """
+    at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -131,8 +140,8 @@ def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
     return ids, keys, counts, known, sent, take(np.uint64, int(sent.sum()))
 
 
-def answers(packed: DataFrame, hashes: Hashes, *, smaller: bool, buckets: int) -> DataFrame:
-    """(__id, __rk, found: list of (bucket, bits)) of the documents with a hash that another one has.
+def answers(rows: DataFrame, text: str, hashes: Hashes, *, smaller: bool, buckets: int) -> DataFrame:
+    """(__id, __rk, found) of the documents with a hash that another one has.
 
     ``smaller``: only documents with a smaller id count.  ``hashes`` gives a text's distinct hashes in order.
     """
@@ -144,57 +153,87 @@ def answers(packed: DataFrame, hashes: Hashes, *, smaller: bool, buckets: int) -
             dealt = list(_pack(ids, keys, found, buckets, smaller))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in dealt], pa.int32()), pa.array([x for _, x in dealt], pa.binary())], names=["bucket", "block"])
 
-        for batch in batches:
-            for i, k, body in zip(*(batch.column(c).to_pylist() for c in ("__id", "__rk", "__body")), strict=True):
-                text = unpacked(body)
+        for chunk in chunks(batches, text):
+            bodies = chunk.column(text).cast(pa.binary()).to_pylist()
+            for i, k, body in zip(chunk.column("__id").to_pylist(), chunk.column("__rk").to_pylist(), bodies, strict=True):
                 ids.append(i)
                 keys.append(k)
-                found.append(hashes(text))
-                total += len(text)
-                if total >= PACK_BYTES:
-                    yield flush()
-                    ids, keys, found, total = [], [], [], 0
+                found.append(hashes(body or b""))
+                total += len(body or b"")
+            if total >= PACK_BYTES:
+                yield flush()
+                ids, keys, found, total = [], [], [], 0
         if ids:
             yield flush()
 
-    def decide(table: pa.Table) -> pa.Table:
-        blocks = [_unpack(x) for x in table.column("block").to_pylist()]
+    def decide(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+        blocks = [_unpack(x.as_py()) for x in table.column("block")]
+        bucket = struct.pack("<i", table.column("bucket")[0].as_py())
         sent_ids = np.concatenate([np.repeat(b[0], b[2])[b[4]] for b in blocks])
         least, _, shared = groups_of(np.concatenate([b[5] for b in blocks]), sent_ids)
         said = sent_ids > least if smaller else shared
-        out, at = ([], [], []), 0
+        at = 0
         for ids, keys, counts, known, sent, own in blocks:
             known[sent] |= said[at : at + len(own)]
             at += len(own)
             ends = np.cumsum(counts)
-            any_true = np.add.reduceat(known, ends - counts) > 0 if len(counts) else known
-            for j in np.flatnonzero(any_true).tolist():
-                out[0].append(int(ids[j]))
-                out[1].append(int(keys[j]))
-                out[2].append(_bits(known[ends[j] - counts[j] : ends[j]]))
-        bucket = [table.column("bucket")[0].as_py()] * len(out[0])
-        return pa.table({"__id": pa.array(out[0], pa.int64()), "__rk": pa.array(out[1], pa.int64()), "bucket": pa.array(bucket, pa.int32()), "bits": pa.array(out[2], pa.binary())})
+            some = np.flatnonzero(np.add.reduceat(known, ends - counts))
+            for i, k, a, b in zip(ids[some].tolist(), keys[some].tolist(), (ends - counts)[some].tolist(), ends[some].tolist(), strict=True):
+                yield i, k, bucket + _bits(known[a:b])
 
-    sent = packed.select("__id", "__rk", "__body").mapInArrow(send, "bucket int, block binary")
-    replied = sent.groupBy("bucket").applyInArrow(decide, "__id bigint, __rk bigint, bucket int, bits binary")
-    # a document has at most one answer per bucket and copy of the row; copies have equal answers
-    return replied.groupBy("__id", "__rk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
+    sent = rows.select("__id", "__rk", text).mapInArrow(send, "bucket int, block binary")
+    return gathered(sent, decide, buckets)
 
 
-def entry_flags(hashes: np.ndarray, found: list[dict] | None, buckets: int) -> np.ndarray:
+def gathered(sent: DataFrame, decide: Callable[[pa.Table], Iterator[tuple[int, int, bytes]]], groups: int) -> DataFrame:
+    """(__id, __rk, found): the answers of ``decide`` for each bucket of (bucket, block) rows, put together by document.
+
+    ``found`` holds each answer behind its length.
+    """
+
+    def answer(table: pa.Table) -> pa.Table:
+        out: dict[int, list[bytes]] = {}
+        for i, k, said in decide(table):
+            group = ((i * 0x9E3779B97F4A7C15 ^ k) >> 17) % groups
+            out.setdefault(group, []).append(struct.pack(_ANSWER, i, k, len(said)) + said)
+        return pa.table({"to": pa.array(list(out), pa.int32()), "answers": pa.array([b"".join(x) for x in out.values()], pa.binary())})
+
+    def collect(table: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], list[bytes]] = {}
+        for x in table.column("answers"):
+            data, at = x.as_py(), 0
+            while at < len(data):
+                i, k, n = struct.unpack_from(_ANSWER, data, at)
+                at += struct.calcsize(_ANSWER) + n
+                found.setdefault((i, k), []).append(data[at - n - 4 : at])
+        return pa.table({
+            "__id": pa.array([i for i, _ in found], pa.int64()), "__rk": pa.array([k for _, k in found], pa.int64()),
+            "found": pa.array([b"".join(x) for x in found.values()], pa.binary()),
+        })
+
+    answered = sent.groupBy("bucket").applyInArrow(answer, "to int, answers binary")
+    return answered.groupBy("to").applyInArrow(collect, "__id bigint, __rk bigint, found binary")
+
+
+def said_of(found: bytes | None) -> Iterator[bytes]:
+    at = 0
+    while found and at < len(found):
+        n = struct.unpack_from("<i", found, at)[0]
+        yield found[at + 4 : at + 4 + n]
+        at += 4 + n
+
+
+def entry_flags(hashes: np.ndarray, found: bytes | None, buckets: int) -> np.ndarray:
     """The answer for each of a document's distinct, ordered hashes."""
     flags = np.zeros(len(hashes), bool)
     if found:
         dealt = bucket_of(hashes, buckets)
-        for x in found:
-            a, b = np.searchsorted(dealt, [x["bucket"], x["bucket"] + 1])
-            flags[a:b] |= _flags(x["bits"], int(b - a))
+        for said in said_of(found):
+            bucket = struct.unpack_from("<i", said)[0]
+            a, b = np.searchsorted(dealt, np.array([bucket, bucket + 1], np.uint64))
+            flags[a:b] |= _flags(said[4:], int(b - a))
     return flags
 
 
-def same_doc(left: DataFrame, right: DataFrame) -> Column:
-    return (left["__id"] == right["__id"]) & (left["__rk"] == right["__rk"])
-
-
 def bucket_count(docs: DataFrame) -> int:
-    return buckets_for(docs, 16 << 20)
+    return buckets_for(docs, 8 << 20)

@@ -72,9 +72,9 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     bytes.split() parts words at exactly the space and tab .. carriage return.
     """
     buckets = repeats.bucket_count(docs)
-    packed = repeats.packed_docs(docs, doc_id, text)
-    said = repeats.answers(packed, lambda t: window_hashes(t, window), smaller=True, buckets=buckets)
-    joined = packed.join(said, ["__id", "__rk"], "left")
+    rows = repeats.keyed_docs(docs, doc_id, text)
+    said = repeats.answers(rows, text, lambda t: window_hashes(t, window), smaller=True, buckets=buckets)
+    joined = repeats.packed_docs(rows, text).join(said, ["__id", "__rk"], "left")
     columns = [c for c in docs.columns if c != text]
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,10 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+#: Estimates beyond that are Catalyst's for sources of unknown size and for joins without statistics.
+UNKNOWN_BYTES = 1 << 50
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; no job runs."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -50,5 +54,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def buckets_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Number of buckets that keeps each near ``bytes_each`` of input, and all cores busy."""
-    spark = df.sparkSession
-    return max(shuffle_partitions(spark), math.ceil(input_bytes(df) / bytes_each))
+    spark, size = df.sparkSession, input_bytes(df)
+    if size > UNKNOWN_BYTES:
+        return shuffle_partitions(spark)
+    return max(shuffle_partitions(spark), math.ceil(size / bytes_each))
