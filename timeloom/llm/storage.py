@@ -15,9 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = f"file://{tempfile.gettempdir()}/timeloom-checkpoints"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"file://{tempfile.gettempdir()}/timeloom-checkpoints"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
