@@ -37,7 +37,9 @@ GRAM = 20
 #: Bytes of a text whose anchors are computed at a time.
 SEGMENT = 1 << 20
 #: Windows that one radix sort works on at a time.
-SORT_WINDOWS = 1 << 20
+SORT_WINDOWS = 1 << 18
+#: Buckets of blocks for each bucket of hashes: a block and its bookkeeping take more memory than a hash.
+BLOCK_BUCKETS = 3
 _NONE = np.uint64((1 << 64) - 1)
 
 
@@ -117,7 +119,7 @@ def _ones(n: np.ndarray) -> np.ndarray:
     return ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)).astype(np.uint64)
 
 
-def _send_blocks(rows: list, buckets: int, depth: int, gram: int) -> Iterator[tuple[int, bytes]]:
+def _send_blocks(rows: list, buckets: int, blocks: int, depth: int, gram: int) -> Iterator[tuple[int, bytes]]:
     """Blocks of the shared anchors of some documents, by bucket of the anchor."""
     pack = zstandard.ZstdCompressor(level=3)
     seen: dict[tuple, int] = {}
@@ -128,7 +130,7 @@ def _send_blocks(rows: list, buckets: int, depth: int, gram: int) -> Iterator[tu
         hashes, at, lo, hi = anchors(text, depth, gram)
         unique, where = np.unique(hashes, return_inverse=True)
         shared = repeats.entry_flags(unique, found, buckets)[where] & (hi >= lo)
-        bucket = repeats.bucket_of(hashes[shared], buckets).tolist()
+        bucket = repeats.bucket_of(hashes[shared], blocks).tolist()
         for b, a, s, e in zip(bucket, at[shared].tolist(), lo[shared].tolist(), hi[shared].tolist(), strict=True):
             block = text[s : e + depth]
             least = seen.setdefault((a - s, block), doc_id)
@@ -184,7 +186,9 @@ def _decide_blocks(blobs: list[bytes], depth: int, gram: int) -> Iterator[tuple[
             masks[i] = _ones(windows[i : i + 1])[0]
         else:  # the smallest document's own, each occurrence
             anchor.setdefault(block[off : off + gram], []).append(i)
+    del first_of
     rest = [i for group in anchor.values() if len(group) > 1 and len({int(ids[i]) for i in group}) > 1 for i in group]
+    del anchor, data, heads
     raw = np.frombuffer(text, np.uint8)
     at = 0
     while at < len(rest):  # whole anchors at a time; equal windows have equal anchors, at equal offsets
@@ -212,21 +216,21 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     if not gram < depth <= gram + 63:
         raise ValueError("depth must be above gram, by 63 at most")
     buckets = repeats.bucket_count(docs)
-    packed = repeats.packed_docs(docs, doc_id, text)
-    said = repeats.answers(packed, lambda t: np.unique(anchors(t, depth, gram)[0]), smaller=False, buckets=buckets)
-    # one exchange of the texts for both joins
-    dealt = packed.repartition(buckets, "__id", "__rk")
-    marked = dealt.select("__id", "__rk", "__body").join(said, ["__id", "__rk"])
+    rows = repeats.keyed_docs(docs, doc_id, text)
+    said = repeats.answers(rows, text, lambda t: np.unique(anchors(t, depth, gram)[0]), smaller=False, buckets=buckets)
+    # one exchange of the texts, reused by both joins: neither may have columns pruned
+    dealt = repeats.packed_docs(rows, text).repartition(buckets, "__id", "__rk")
+    marked = dealt.join(said, ["__id", "__rk"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, total = [], 0
 
         def flush():
-            out = list(_send_blocks(rows, buckets, depth, gram))
+            out = list(_send_blocks(rows, buckets, BLOCK_BUCKETS * buckets, depth, gram))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block"])
 
         for batch in batches:
-            for i, k, body, found in zip(*(batch.column(c).to_pylist() for c in ("__id", "__rk", "__body", "found")), strict=True):
+            for i, k, body, found in zip(*(map(lambda x: x.as_py(), batch.column(c)) for c in ("__id", "__rk", "__body", "found")), strict=True):
                 rows.append((i, k, repeats.unpacked(body), found))
                 total += len(rows[-1][2])
                 if total >= repeats.PACK_BYTES:
@@ -235,16 +239,11 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         if rows:
             yield flush()
 
-    def decide(table: pa.Table) -> pa.Table:
-        out = list(_decide_blocks(table.column("block").to_pylist(), depth, gram))
-        kinds = {"__id": pa.int64(), "__rk": pa.int64(), "starts": pa.binary(), "masks": pa.binary()}
-        return pa.table({n: pa.array([r[j] for r in out], t) for j, (n, t) in enumerate(kinds.items())})
+    def decide(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+        for i, k, starts, masks in _decide_blocks([x.as_py() for x in table.column("block")], depth, gram):
+            yield i, k, starts + masks
 
-    replied = (
-        marked.mapInArrow(send, "bucket int, block binary").groupBy("bucket")
-        .applyInArrow(decide, "__id bigint, __rk bigint, starts binary, masks binary")
-        .groupBy("__id", "__rk").agg(F.collect_list(F.struct("starts", "masks")).alias("gone"))
-    )
+    replied = repeats.gathered(marked.mapInArrow(send, "bucket int, block binary"), decide, buckets).withColumnRenamed("found", "gone")
     joined = dealt.join(replied, ["__id", "__rk"], "left")
     columns = [c for c in docs.columns if c != text]
 
@@ -257,8 +256,9 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 removed = spans = 0
                 if gone:
                     starts = np.zeros(len(whole), bool)
-                    for x in gone:
-                        lo, masks = np.frombuffer(x["starts"], np.uint32).astype(np.int64), np.frombuffer(x["masks"], np.uint64)
+                    for said in repeats.said_of(gone):
+                        n = len(said) // 12  # 4 bytes of start, 8 of mask
+                        lo, masks = np.frombuffer(said, np.uint32, n).astype(np.int64), np.frombuffer(said, np.uint64, n, 4 * n)
                         for j in range(depth - gram + 1):
                             starts[lo[(masks >> np.uint64(j)) & np.uint64(1) == 1] + j] = True
                     out = covered(starts, depth, len(whole))
