@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from timeloom.llm import components, decontaminate, langid, packing, quality, simhash, substrings, suffixes, tokencount, toxicity, warc
+from timeloom.llm import components, decontaminate, langid, packing, quality, repeats, simhash, substrings, suffixes, tokencount, toxicity, warc
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sigma tau ups".split()
 
@@ -85,11 +85,72 @@ def test_suffixes(docs):
 
 def test_anchors_stand_for_every_window():
     rng = random.Random(0)
-    for text in (sentence(rng, 100).encode(), b"a" * 200, b"ab" * 70 + b"xyz" * 30, b"short", b"q" * 50):
-        _, at, lo, hi = suffixes.anchors(text)
-        seen = {s for a, b in zip(lo.tolist(), hi.tolist()) for s in range(a, b + 1)}
-        assert seen == set(range(max(0, len(text) - 49)))
-        assert all(a - 30 <= s <= a for a, s, e in zip(at.tolist(), lo.tolist(), hi.tolist()) if e >= s)
+    texts = [sentence(rng, 100).encode(), b"a" * 200, b"ab" * 70 + b"xyz" * 30, b"short", b"", b"q" * 50]
+    _, doc, at, lo, hi = suffixes.anchors(texts)
+    for d, text in enumerate(texts):
+        seen = [s for x, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist()) for s in range(a, b + 1) if x == d]
+        assert seen == list(range(max(0, len(text) - 49)))
+    assert all(a - 30 <= s <= e <= a for a, s, e in zip(at.tolist(), lo.tolist(), hi.tolist()))
+
+
+def test_radix_groups_are_those_of_equal_strings():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 2, 4000).astype(np.uint8)
+    starts = rng.integers(0, 3900, 3000)
+    lengths, group, owner = rng.integers(6, 20, 3000), rng.integers(0, 3, 3000), rng.integers(0, 50, 3000)
+    least = suffixes.least_owner(suffixes.radix_groups(data, starts, lengths, group, owner), owner)
+    want = {}
+    key = lambda i: (group[i], lengths[i], data[starts[i] : starts[i] + lengths[i]].tobytes())
+    for i in range(3000):
+        want[key(i)] = min(want.get(key(i), 99), owner[i])
+    assert least.tolist() == [want[key(i)] for i in range(3000)]
+
+
+def brute_bytes(texts, size=50):
+    """(n_removed, n_spans, kept) by plain search; texts in order of their ids."""
+    seen, out = set(), []
+    for t in texts:
+        own = [t[k : k + size] for k in range(len(t) - size + 1)]
+        gone = np.zeros(len(t) + 1, bool)
+        for k in [k for k, w in enumerate(own) if w in seen]:
+            gone[k : k + size] = True
+        seen.update(own)
+        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        out.append((int(gone.sum()), spans, bytes(np.frombuffer(t, np.uint8)[~gone[:-1]])))
+    return out
+
+
+def test_suffixes_on_long_texts_and_short_periods(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(suffixes.SEGMENT + 3000))
+    texts = [long[-5000:] + "x", "z" + long, "-" * 3000, "=" * 100 + "-" * 5000 + "+", "ab" * 400 + "c", "b" + "ab" * 300, "abc" * 50, "cabc" * 60 + "abc" * 40, "", "é" * 60, "é" * 40]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_repeats(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_bytes([t.encode() for t in texts])
+
+
+def test_hashes_that_collide_remove_nothing(spark):
+    """Equal in one lane only: not the same window."""
+    rng = random.Random(12)
+    texts = [sentence(rng, 40) for _ in range(30)]
+    texts[20] = texts[3]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    code = "import numpy as np\nfrom timeloom.llm import repeats\n"
+    del code
+    tokens = substrings.word_hashes([b"a", b"b", b"a"])
+    assert (tokens[0] == tokens[2]).all() and (tokens[0] != tokens[1]).all()
+    hashes = np.array([[1, 5], [1, 6], [1, 5], [2, 5]], np.uint64)
+    assert substrings._equal_to_any(hashes, np.array([0])).tolist() == [0, 2]
+    keys = np.ascontiguousarray(hashes).view(substrings._KEY).reshape(-1)
+    chunk = repeats.Chunk([(i, 0, b"", None) for i in range(4)])
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    blocks = dict(repeats.asked(chunk, np.arange(4)[order], np.zeros(4, np.int64), keys[order], np.arange(4, dtype="<u4")[order], smaller=True, groups=1))
+    (own, counts), _ = repeats.stretched(blocks[-1], 2)
+    assert own.tolist() == [2] and counts.tolist() == [1]  # equal in one lane decides nothing
+    ids, _, _ = repeats.decided([blocks[0], blocks[0]], substrings._KEY, np.dtype("<u4"), True)
+    assert not len(ids)
+    out = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(df).collect()}
+    assert out == {i: 40 if i == 20 else 0 for i in range(30)}
 
 
 def test_decontamination(spark, docs, texts):

@@ -3,20 +3,31 @@
 Two suffixes belong together if their first 50 bytes are equal.  The order of
 all suffixes isn't needed, only the groups of equal ones, and of these only
 those with several documents; so the passes, most significant digit first,
-drop a suffix as soon as no other document shares its digits so far:
-
-1. First digit: the hash of a 20-byte gram.  Sorting each suffix by it would
-   shuffle many times the input, so only anchors are sorted: the grams with
-   the smallest hash among those inside a 50-byte window.  Equal windows have
-   equal anchors at equal offsets, so a window whose anchor no other document
-   has is unique.  (``repeats`` does this pass.)
-2. Second digit: all bytes of the windows that share an anchor, as one block;
-   blocks equal to one of a smaller document are decided as a whole.
-3. The windows of the remaining blocks are sorted by their bytes, 8 at a time,
-   through depth 50: the groups left are exactly the repeated windows.
-
-Null and short texts have no window and lose nothing.  Of rows with equal ids
-none is smaller; null ids come last.  Repeated rows: a row each.
+drop a suffix as soon as no other document shares its digits so far.  Sorting
+every suffix would shuffle many times the input; so sampled suffixes are
+sorted, and each stands for the windows (strings of 50 bytes) around it:
+
+1. A window is represented by the suffix at its anchor, the 20-byte gram with
+   the smallest hash inside it (of equal ones the leftmost).  Equal windows
+   have equal anchors at equal offsets.  The first digit, a hash of the gram,
+   is dealt over the cluster (``repeats``): a suffix whose gram no other
+   document has leaves, and with it all its windows.
+2. The suffixes left go to the bucket of their gram with their block, all
+   bytes of their windows.  There ``radix_groups`` sorts them, 8 bytes a pass:
+   by gram, then extent, then through the block.  Equal blocks are decided as
+   a whole.
+3. Where blocks share a gram but differ, the windows themselves are sorted by
+   the same passes, through depth 50: equal groups are exactly the repeated
+   windows.
+
+Equality is decided on bytes, hashes only deal and sample.  Blocks that a
+chunk of documents has several times are sent once; runs of a short period
+(blanks, dashes) are one entry, whatever their length.
+
+Null and short texts have no window and lose nothing.  Ids are integers; of
+rows with equal ids none is smaller; null ids come last.  Repeated rows: a row
+each.  Other columns are carried; one named as a result column comes back with
+``in_`` before its name.
 """
 
 from __future__ import annotations
@@ -30,240 +41,301 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timeloom.llm import repeats
-from timeloom.llm.substrings import covered, rolling
+from timeloom.llm.substrings import covered_at, rolling
+from timeloom.llm.text import Carried
 
 DEPTH = 50
 GRAM = 20
-#: Bytes of a text whose anchors are computed at a time.
+#: Bytes whose anchors are computed at a time.
 SEGMENT = 1 << 20
+_PLACE = np.uint64((1 << 21) - 1)  # position inside a segment
 #: Windows that one radix sort works on at a time.
 SORT_WINDOWS = 1 << 18
-#: Buckets of blocks for each bucket of hashes: a block and its bookkeeping take more memory than a hash.
-BLOCK_BUCKETS = 3
-_NONE = np.uint64((1 << 64) - 1)
+#: Buckets of blocks for each bucket of hashes: a block takes more memory than a hash.
+BLOCK_BUCKETS = 6
 
 
-def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """``pick`` (minimum or maximum) of each ``width`` consecutive values."""
+def _slide(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each ``width`` consecutive values."""
     length = 1
     while length * 2 <= width:
-        x = pick(x[:-length], x[length:])
+        x = np.minimum(x[:-length], x[length:])
         length *= 2
     rest = width - length
-    return pick(x[: len(x) - rest], x[rest:]) if rest else x
-
-
-def anchors(text: bytes, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Hash of each anchor, its position, and the first and last window start that it stands for."""
-    found = []
-    data = np.frombuffer(text, np.uint8)
-    width = depth - gram + 1
-    for start in range(0, max(len(data) - depth + 1, 0), SEGMENT):
-        part = data[start : start + SEGMENT + depth - 1].astype(np.uint64) + np.uint64(1)
-        grams = rolling(part, gram)
-        least = _slide(grams, width, np.minimum)
-        edge = np.zeros(width - 1, np.uint64)
-        most = _slide(np.concatenate([edge, least, edge]), width, np.maximum)
-        at = np.flatnonzero(most == grams)
-        # the windows whose smallest gram an anchor is start in a run: from behind the nearest
-        # smaller gram on its left, up to where the nearest smaller one on its right comes in
-        near = np.concatenate([np.full(width - 1, _NONE), grams, np.full(width - 1, _NONE)])
-        left, right = np.full(len(at), width), np.full(len(at), width)
-        for step in range(width - 1, 0, -1):
-            left[near[at + width - 1 - step] < grams[at]] = step
-            right[near[at + width - 1 + step] < grams[at]] = step
-        lo = np.maximum(np.maximum(at - left + 1, at - width + 1), 0)
-        hi = np.minimum(np.minimum(at, at + right - width), len(least) - 1)
-        found.append((grams[at], at + start, lo + start, hi + start))
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def _anchors_of(data: bytes, ends: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchors of the windows of joined pieces that end at ``ends``: hash, position, first and last window start."""
+    none = np.zeros(0, np.int64)
+    if len(data) < depth:
+        return np.zeros(0, np.uint64), none, none, none
+    grams = rolling(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), gram)
+    # of equal hashes the leftmost: the position fills the lowest bits
+    at = _slide((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), depth - gram + 1)
+    inside = np.ones(len(at), bool)
+    border = (ends[:, None] - np.arange(1, depth)).ravel()
+    inside[border[(border >= 0) & (border < len(at))]] = False
+    starts = np.flatnonzero(inside)
+    at = (at[starts] & _PLACE).astype(np.int64)
+    new = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
+    first = np.flatnonzero(new)
+    at, lo = at[first], starts[first]
+    hi = np.append(starts[first[1:] - 1], starts[-1:])
+    return grams[at], at, lo, hi
+
+
+def anchors(texts: list[bytes], depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Hash, text, position and first and last window start of each anchor of some texts.
+
+    A text beyond a segment is worked on piece by piece; an anchor may come once for either piece.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    pieces: list[tuple[int, int, bytes]] = []
+    total = 0
+
+    def flush() -> None:
+        nonlocal total
+        ends = np.cumsum([len(p) for _, _, p in pieces])
+        hashes, at, lo, hi = _anchors_of(b"".join(p for _, _, p in pieces), ends, depth, gram)
+        piece = np.searchsorted(ends, at, side="right")
+        shift = (np.array([b for _, b, _ in pieces]) - (ends - np.array([len(p) for _, _, p in pieces])))[piece]
+        found.append((hashes, np.array([d for d, _, _ in pieces])[piece], at + shift, lo + shift, hi + shift))
+        pieces.clear()
+        total = 0
+
+    for d, text in enumerate(texts):
+        for start in range(0, len(text) - depth + 1, SEGMENT):
+            pieces.append((d, start, text[start : start + SEGMENT + depth - 1]))
+            total += len(pieces[-1][2])
+            if total >= SEGMENT // 2:
+                flush()
+    if pieces:
+        flush()
     if not found:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none, none, none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def equal_windows(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """For each window of ``depth`` bytes the smallest id among equal windows.
+def radix_groups(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Groups of equal byte strings among those of equal ``group`` and length, by most-significant-digit passes.
 
-    Most significant digit first; windows that share their digits so far with
-    no other id leave the sort.
+    8 bytes a pass.  A string leaves the sort, with a group of its own, as
+    soon as no string of another owner shares its digits so far.
     """
-    least = ids.copy()
+    out = np.empty(len(starts), np.int64)
     alive = np.arange(len(starts))
-    group = np.zeros(len(starts), np.int64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for at in range(0, depth, 8):
+    order = np.lexsort((owner, lengths, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (group[order[1:]] != group[order[:-1]]) | (lengths[order[1:]] != lengths[order[:-1]])
+    at = free = 0
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8) if len(padded) >= 8 else None
+    while True:
+        alive = alive[order]
+        first = np.flatnonzero(new)
+        ends = np.append(first[1:], len(alive))
+        head, sizes = owner[alive[first]], ends - first
+        # owners are the last key of the sort
+        mixed = np.repeat(head != owner[alive[ends - 1]], sizes) if len(first) else np.zeros(0, bool)
+        number = np.repeat(np.arange(len(first)), sizes)
+        keep = mixed & (lengths[alive] > at)
+        done, lone = alive[mixed & ~keep], alive[~mixed]
+        out[done] = free + number[mixed & ~keep]
+        out[lone] = free + len(first) + np.arange(len(lone))
+        free += len(first) + len(lone)
+        alive, number = alive[keep], number[keep]
         if not len(alive):
-            break
-        size = min(8, depth - at)
-        digit = np.zeros(len(alive), np.uint64)
-        for j in range(size):
-            digit = (digit << np.uint64(8)) | padded[starts[alive] + at + j].astype(np.uint64)
-        order = np.lexsort((ids[alive], digit, group))
-        alive, g, d = alive[order], group[order], digit[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])])
-        group = np.cumsum(new) - 1
-        head = np.flatnonzero(new)
-        tail = np.concatenate([head[1:], [len(alive)]]) - 1
-        mixed = ids[alive[head]] != ids[alive[tail]]
-        keep = mixed[group]
-        if at + 8 >= depth:
-            least[alive[keep]] = ids[alive[head]][group[keep]]
-        alive, group = alive[keep], group[keep]
-    return least
-
-
-_HEAD = np.dtype([("doc", "<i4"), ("lo", "<u4"), ("off", "u1"), ("windows", "u1"), ("done", "u1")])
+            return out
+        left = np.minimum(lengths[alive] - at, 8)
+        digit = np.ascontiguousarray(words[starts[alive] + at]).view(">u8").reshape(-1).astype(np.uint64)
+        digit >>= (np.uint64(8) * (8 - left).astype(np.uint64))
+        order = np.lexsort((owner[alive], digit, number))
+        number, digit = number[order], digit[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (number[1:] != number[:-1]) | (digit[1:] != digit[:-1])
+        at += 8
+
+
+def least_owner(group: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each entry the smallest owner in its group."""
+    least = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, owner)
+    return least[group]
+
+
+#: An entry: a document's windows at ``times`` places, ``windows`` apart, all with one block.
+_ENTRY = np.dtype([("doc", "<u2"), ("block", "<u4"), ("lo", "<u4"), ("times", "<u4")])
+#: An answer: the windows that start at lo + a bit of the mask, and so on ``times`` times, ``windows`` apart.
+_ANSWER = np.dtype([("lo", "<u4"), ("mask", "<u8"), ("windows", "u1"), ("times", "<u4")])
 
 
 def _ones(n: np.ndarray) -> np.ndarray:
-    return ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)).astype(np.uint64)
+    n = n.astype(np.uint64)
+    return np.where(n >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n, np.uint64(63))) - np.uint64(1))
+
 
+def _answers(lo: np.ndarray, mask: np.ndarray, windows: np.ndarray, times: np.ndarray) -> np.ndarray:
+    out = np.empty(len(lo), _ANSWER)
+    out["lo"], out["mask"], out["windows"], out["times"] = lo, mask, windows, times
+    return out
 
-def _send_blocks(rows: list, buckets: int, blocks: int, depth: int, gram: int) -> Iterator[tuple[int, bytes]]:
+
+def _send_blocks(chunk: repeats.Chunk, buckets: int, blocks: int, depth: int, gram: int) -> Iterator[tuple[int, bytes]]:
     """Blocks of the shared anchors of some documents, by bucket of the anchor."""
+    hashes, doc, at, lo, hi = anchors(chunk.bodies, depth, gram)
+    some = np.flatnonzero(repeats.flagged(hashes, doc, chunk.found, buckets))
+    some = some[np.argsort(doc[some], kind="stable")]  # the smallest document of a block first
+    hashes, doc, at, lo, hi = (x[some] for x in (hashes, doc, at, lo, hi))
+    if not len(doc):
+        return
+    off, windows = at - lo, hi - lo + 1
+    # number of each distinct block: with its offset before it
+    seen: dict[bytes, int] = {}
+    marks = [bytes([x]) for x in range(depth)]
+    number = np.empty(len(doc), np.int64)
+    bodies = chunk.bodies
+    for i, (d, o, s, e) in enumerate(zip(doc.tolist(), off.tolist(), lo.tolist(), (hi + depth).tolist(), strict=True)):
+        number[i] = seen.setdefault(marks[o] + bodies[d][s:e], len(seen))
+    distinct = list(seen)
+    del seen
+    # runs of equal blocks that follow one another are one entry
+    new = np.ones(len(doc), bool)
+    new[1:] = (number[1:] != number[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1] + windows[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(doc)))
+    hashes, doc, lo, windows, off, number = (x[first] for x in (hashes, doc, lo, windows, off, number))
+    ids = chunk.ids[doc]
+    owner = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(owner, number, ids)
+    known = ids > owner[number]
+    if known.any():
+        said = _answers(lo[known], _ones(windows[known]), windows[known], times[known])
+        for to, block in repeats.packed_answers(ids[known], chunk.rks[doc[known]], said, buckets):
+            yield -1 - to, block
     pack = zstandard.ZstdCompressor(level=3)
-    seen: dict[tuple, int] = {}
-    dealt: dict[int, tuple[list, list]] = {}
-    order = sorted(range(len(rows)), key=lambda i: rows[i][0])  # the smallest document of a block first
-    for i in order:
-        doc_id, _, text, found = rows[i]
-        hashes, at, lo, hi = anchors(text, depth, gram)
-        unique, where = np.unique(hashes, return_inverse=True)
-        shared = repeats.entry_flags(unique, found, buckets)[where] & (hi >= lo)
-        bucket = repeats.bucket_of(hashes[shared], blocks).tolist()
-        for b, a, s, e in zip(bucket, at[shared].tolist(), lo[shared].tolist(), hi[shared].tolist(), strict=True):
-            block = text[s : e + depth]
-            least = seen.setdefault((a - s, block), doc_id)
-            heads, bodies = dealt.setdefault(b, ([], []))
-            done = least < doc_id
-            heads.append((i, s, a - s, e - s + 1, done))
-            if not done:
-                bodies.append(block)
-    ids = np.array([r[0] for r in rows], np.int64)
-    keys = np.array([r[1] for r in rows], np.int64)
-    for b, (heads, bodies) in dealt.items():
-        head = np.array(heads, _HEAD)
-        docs, local = np.unique(head["doc"], return_inverse=True)
-        head["doc"] = local
-        yield b, b"".join([
-            np.array([len(docs), len(head)], np.int64).tobytes(), ids[docs].tobytes(), keys[docs].tobytes(),
-            head.tobytes(), pack.compress(b"".join(bodies)),
-        ])
-
-
-def _decide_blocks(blobs: list[bytes], depth: int, gram: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(id, rk, first window starts, masks of repeated windows) for the documents of one bucket."""
-    heads, ids, keys, data, begin = [], [], [], [], 0
-    starts = []
-    for blob in blobs:
-        n_docs, n = np.frombuffer(blob, np.int64, 2).tolist()
-        own_ids, own_keys = np.frombuffer(blob, np.int64, n_docs, 16), np.frombuffer(blob, np.int64, n_docs, 16 + 8 * n_docs)
-        head = np.frombuffer(blob, _HEAD, n, 16 + 16 * n_docs)
-        body = zstandard.ZstdDecompressor().decompress(blob[16 + 16 * n_docs + head.nbytes :])
-        size = np.where(head["done"] == 1, 0, head["windows"].astype(np.int64) + depth - 1)
-        starts.append(begin + np.cumsum(size) - size)
-        begin += len(body)
-        heads.append(head)
-        data.append(body)
-        ids.append(own_ids[head["doc"]])
-        keys.append(own_keys[head["doc"]])
-    head, ids, keys, starts = np.concatenate(heads), np.concatenate(ids), np.concatenate(keys), np.concatenate(starts)
-    text = b"".join(data)
-    windows = head["windows"].astype(np.int64)
-    masks = np.zeros(len(head), np.uint64)
-    done = head["done"] == 1
-    masks[done] = _ones(windows[done])
-    # second digit: whole blocks; those equal to a smaller document's are decided
-    first_of: dict[tuple, int] = {}
-    left = np.flatnonzero(~done)
-    left = left[np.argsort(ids[left], kind="stable")]
-    anchor: dict[tuple, list[int]] = {}
-    for i in left.tolist():
-        a, off, n = int(starts[i]), int(head["off"][i]), int(windows[i])
-        block = text[a : a + n + depth - 1]
-        j = first_of.setdefault((off, block), i)
-        if ids[j] < ids[i]:
-            masks[i] = _ones(windows[i : i + 1])[0]
-        else:  # the smallest document's own, each occurrence
-            anchor.setdefault(block[off : off + gram], []).append(i)
-    del first_of
-    rest = [i for group in anchor.values() if len(group) > 1 and len({int(ids[i]) for i in group}) > 1 for i in group]
-    del anchor, data, heads
-    raw = np.frombuffer(text, np.uint8)
+    ask = np.flatnonzero(~known)
+    bucket = repeats.dealt(hashes[ask], blocks)[0]
+    order = np.argsort(bucket, kind="stable")
+    cuts = repeats.runs(bucket[order])
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        part = ask[order[a:b]]
+        docs_here, own_doc = np.unique(doc[part], return_inverse=True)
+        used, own_block = np.unique(number[part], return_inverse=True)
+        entry = np.empty(len(part), _ENTRY)
+        entry["doc"], entry["block"], entry["lo"], entry["times"] = own_doc, own_block, lo[part], times[part]
+        texts = [distinct[j] for j in used.tolist()]
+        extent = np.array([[len(x) - depth, x[0]] for x in texts], np.uint8)  # windows, offset of the anchor
+        head = np.array([len(docs_here), len(used), len(part)], np.int64)
+        parts = [head, chunk.ids[docs_here], chunk.rks[docs_here], extent, entry]
+        yield int(bucket[order[a]]), pack.compress(b"".join([*(x.tobytes() for x in parts), *(x[1:] for x in texts)]))
+
+
+def _decide_blocks(packed: list[bytes], depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, checksum and answer of the documents of one bucket that lose windows."""
+    unpack = zstandard.ZstdDecompressor()
+    ids, rks, extents, numbers, entries, bodies, n_blocks = [], [], [], [], [], [], 0
+    for one in packed:
+        data = unpack.decompress(one)
+        docs, blocks, n = np.frombuffer(data, np.int64, 3).tolist()
+        own_ids, own_rks = np.frombuffer(data, np.int64, 2 * docs, 24).reshape(2, docs)
+        extents.append(np.frombuffer(data, np.uint8, 2 * blocks, 24 + 16 * docs).reshape(blocks, 2))
+        entry = np.frombuffer(data, _ENTRY, n, 24 + 16 * docs + 2 * blocks)
+        bodies.append(data[24 + 16 * docs + 2 * blocks + entry.nbytes :])
+        ids.append(own_ids[entry["doc"]])
+        rks.append(own_rks[entry["doc"]])
+        numbers.append(entry["block"].astype(np.int64) + n_blocks)
+        entries.append(entry)
+        n_blocks += blocks
+    ids, rks, number, entry = np.concatenate(ids), np.concatenate(rks), np.concatenate(numbers), np.concatenate(entries)
+    windows, off = np.concatenate(extents).astype(np.int64).T
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    del bodies, packed
+    length = windows + depth - 1
+    start = np.cumsum(length) - length
+    owner = np.full(n_blocks, np.iinfo(np.int64).max)
+    np.minimum.at(owner, number, ids)
+    # by gram, then through the blocks of one extent; a string of one owner only leaves
+    of_gram = radix_groups(data, start + off, np.full(n_blocks, gram), np.zeros(n_blocks, np.int64), owner)
+    group = radix_groups(data, start, length, of_gram * (64 * 64) + off * 64 + windows % 64, owner)
+    least = least_owner(group, owner)
+    # bits of the windows that a smaller document has; of equal blocks the one with the smallest owner is sorted on
+    mask = np.where(owner > least, _ones(windows), np.uint64(0))
+    by_owner = np.lexsort((owner, group))
+    lead = by_owner[repeats.runs(group[by_owner])]
+    shared = least_owner(of_gram[lead], owner[lead]) if len(lead) else np.zeros(0, np.int64)
+    most = -least_owner(of_gram[lead], -owner[lead]) if len(lead) else np.zeros(0, np.int64)
+    rest = lead[shared != most]
+    rest = rest[np.argsort(of_gram[rest], kind="stable")]
     at = 0
-    while at < len(rest):  # whole anchors at a time; equal windows have equal anchors, at equal offsets
-        size = np.cumsum(windows[rest[at:]])
-        n = max(1, int(np.searchsorted(size, SORT_WINDOWS)))
-        gram_of = lambda i: text[int(starts[i]) + int(head["off"][i]) : int(starts[i]) + int(head["off"][i]) + gram]
-        while at + n < len(rest) and gram_of(rest[at + n]) == gram_of(rest[at + n - 1]):
-            n += 1
-        part = np.array(rest[at : at + n])
+    while at < len(rest):  # whole grams at a time
+        n = max(1, int(np.searchsorted(np.cumsum(windows[rest[at:]]), SORT_WINDOWS)))
+        n = int(np.searchsorted(of_gram[rest[at:]], of_gram[rest[at + min(n, len(rest) - at) - 1]], side="right"))
+        part = rest[at : at + n]
         at += n
-        entry = np.repeat(np.arange(len(part)), windows[part])
-        offset = np.arange(len(entry)) - np.repeat(np.cumsum(windows[part]) - windows[part], windows[part])
-        least = equal_windows(raw, starts[part][entry] + offset, ids[part][entry], depth)
-        hit = least < ids[part][entry]
-        np.bitwise_or.at(masks, part[entry[hit]], np.uint64(1) << offset[hit].astype(np.uint64))
-    some = np.flatnonzero(masks)
-    order = some[np.lexsort((keys[some], ids[some]))]
-    cuts = np.flatnonzero((np.diff(ids[order]) != 0) | (np.diff(keys[order]) != 0)) + 1
-    for part in np.split(order, cuts) if len(order) else []:
-        yield int(ids[part[0]]), int(keys[part[0]]), head["lo"][part].tobytes(), masks[part].tobytes()
+        of = np.repeat(part, windows[part])
+        bit = np.arange(len(of)) - np.repeat(np.cumsum(windows[part]) - windows[part], windows[part])
+        # the anchor's place in a window is part of what equal windows share
+        same = radix_groups(data, start[of] + bit, np.full(len(of), depth), of_gram[of] * 64 + off[of] - bit, owner[of])
+        hit = owner[of] > least_owner(same, owner[of])
+        np.bitwise_or.at(mask, of[hit], np.uint64(1) << bit[hit].astype(np.uint64))
+    # blocks equal to a sorted one have its windows, too: theirs are all repeated if their owner is larger
+    leader = np.empty(int(group.max()) + 1 if n_blocks else 0, np.int64)
+    leader[group[lead]] = lead
+    own = number
+    said = np.where(ids > least[own], _ones(windows[own]), mask[leader[group[own]]])
+    hit = np.flatnonzero(said)
+    own = own[hit]
+    return ids[hit], rks[hit], _answers(entry["lo"][hit], said[hit], windows[own], entry["times"][hit])
+
+
+def window_starts(said: np.ndarray) -> np.ndarray:
+    """Starts of the repeated windows from a document's answers."""
+    times = said["times"].astype(np.int64)
+    if len(said) and times.max() > 1:
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        said = np.repeat(said, times)
+        lo = said["lo"].astype(np.int64) + step * said["windows"]
+    else:
+        lo = said["lo"].astype(np.int64)
+    bits = np.unpackbits(np.ascontiguousarray(said["mask"]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    entry, bit = np.nonzero(bits)
+    return lo[entry] + bit
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """``docs`` without ``text``, with n_bytes, n_removed, n_spans and kept (binary: what is left of the UTF-8 bytes)."""
-    if not gram < depth <= gram + 63:
-        raise ValueError("depth must be above gram, by 63 at most")
+    if not gram < depth <= gram + 62 or depth > 200:
+        raise ValueError("depth must be above gram, by 62 at most, and not above 200")
     buckets = repeats.bucket_count(docs)
-    rows = repeats.keyed_docs(docs, doc_id, text)
-    said = repeats.answers(rows, text, lambda t: np.unique(anchors(t, depth, gram)[0]), smaller=False, buckets=buckets)
+    carried = Carried(docs)
+    body = carried.of(text)
+    rows = carried.df.select("*", *repeats.keyed(carried.df, carried.of(doc_id), body))
+    may = repeats.shared_hashes(rows, body, lambda texts: anchors(texts, depth, gram)[:2], buckets)
     # one exchange of the texts, reused by both joins: neither may have columns pruned
-    dealt = repeats.packed_docs(rows, text).repartition(buckets, "__id", "__rk")
-    marked = dealt.join(said, ["__id", "__rk"])
+    dealt = repeats.packed_docs(rows, body).repartition(buckets, "__id", "__rk")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, total = [], 0
-
-        def flush():
-            out = list(_send_blocks(rows, buckets, BLOCK_BUCKETS * buckets, depth, gram))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block"])
+        for chunk in repeats.doc_chunks(batches, "__body"):
+            yield repeats.blocks_batch(_send_blocks(chunk, buckets, BLOCK_BUCKETS * buckets, depth, gram))
 
-        for batch in batches:
-            for i, k, body, found in zip(*(map(lambda x: x.as_py(), batch.column(c)) for c in ("__id", "__rk", "__body", "found")), strict=True):
-                rows.append((i, k, repeats.unpacked(body), found))
-                total += len(rows[-1][2])
-                if total >= repeats.PACK_BYTES:
-                    yield flush()
-                    rows, total = [], 0
-        if rows:
-            yield flush()
-
-    def decide(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-        for i, k, starts, masks in _decide_blocks([x.as_py() for x in table.column("block")], depth, gram):
-            yield i, k, starts + masks
-
-    replied = repeats.gathered(marked.mapInArrow(send, "bucket int, block binary"), decide, buckets).withColumnRenamed("found", "gone")
-    joined = dealt.join(replied, ["__id", "__rk"], "left")
-    columns = [c for c in docs.columns if c != text]
+    sent = dealt.join(may, ["__id", "__rk"]).mapInArrow(send, "bucket int, block binary")
+    said = repeats.exchange(sent, lambda blocks: _decide_blocks(blocks, depth, gram), _ANSWER, BLOCK_BUCKETS * buckets, buckets)
+    joined = dealt.join(said, ["__id", "__rk"], "left")
+    columns = [c for c in carried.df.columns if c != body]
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for body, gone in zip(batch.column("__body").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                whole = repeats.unpacked(body)
+            for packed, found in zip(batch.column("__body").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                whole = repeats.unpacked(packed)
                 n_bytes.append(len(whole))
                 removed = spans = 0
-                if gone:
-                    starts = np.zeros(len(whole), bool)
-                    for said in repeats.said_of(gone):
-                        n = len(said) // 12  # 4 bytes of start, 8 of mask
-                        lo, masks = np.frombuffer(said, np.uint32, n).astype(np.int64), np.frombuffer(said, np.uint64, n, 4 * n)
-                        for j in range(depth - gram + 1):
-                            starts[lo[(masks >> np.uint64(j)) & np.uint64(1) == 1] + j] = True
-                    out = covered(starts, depth, len(whole))
-                    removed = int(out.sum())
-                    spans = int(out[0]) + int((out[1:] & ~out[:-1]).sum())
+                if found:
+                    out = covered_at(window_starts(np.frombuffer(found, _ANSWER)), depth, len(whole))
+                    removed = int(np.count_nonzero(out))
+                    spans = int(out[0]) + int(np.count_nonzero(out[1:] & ~out[:-1]))
                     whole = np.frombuffer(whole, np.uint8)[~out].tobytes()
                 n_removed.append(removed)
                 n_spans.append(spans)
@@ -273,7 +345,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    schema = docs.drop(text).schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+    results = (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary"))
+    schema = carried.df.drop(body).schema
+    for name, kind in results:
         schema = schema.add(name, kind)
-    return joined.select(*columns, "__body", "gone").mapInArrow(strip, schema)
+    return carried.named(joined.select(*columns, "__body", "found").mapInArrow(strip, schema), [n for n, _ in results])

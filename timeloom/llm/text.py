@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,35 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+class Carried:
+    """A table's columns under names (c0, c1, ...) that clash with none an operator uses; ``named`` gives them back."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def of(self, name: str) -> str:
+        """The carried name of a column; as in Spark, case doesn't matter."""
+        exact = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if len(exact) != 1:
+            raise ValueError(f"{len(exact)} columns {name} among {self.names}")
+        return f"c{exact[0]}"
+
+    def named(self, df: DataFrame, results: Sequence[str] = ()) -> DataFrame:
+        """Carried columns of ``df`` by their own names; one that is named as a result gets ``in_`` before its name."""
+        taken = {r.lower() for r in results}
+        back = {f"c{i}": n for i, n in enumerate(self.names)}
+        out = []
+        for c in df.columns:
+            name = back.get(c, c)
+            if c in back and c not in results:
+                while name.lower() in taken:
+                    name = f"in_{name}"
+                taken.add(name.lower())
+            out.append(name)
+        return df.toDF(*out)
+
+
 #: Estimates beyond that are Catalyst's for sources of unknown size and for joins without statistics.
 UNKNOWN_BYTES = 1 << 50
 
