@@ -254,10 +254,67 @@ def test_quality_outliers(spark):
     assert len(out) == len(rows)
     assert not any(out[1000 + i]["kept"] for i in range(12)) and not out[2000]["kept"] and out[2000]["base_failed"]
     normal = [out[i] for i in range(900) if not out[i]["base_failed"]]
-    assert sum(r["kept"] for r in normal) == len(normal) and out[2001]["kept"]
+    assert sum(r["kept"] for r in normal) == len(normal) and out[2001]["kept"] and out[2001]["distance"] == 0
     assert quality.judged(df.limit(0)).count() == 0
 
 
+def mcd_distances(x):
+    """Plain minimum covariance determinant with the module's starts, floors and limits, halves by sorting."""
+    floor = np.diag([f * f for _, _, f in quality.STATISTICS])
+    n = len(x)
+    ordered = np.sort(x, axis=0)
+    med = ordered[(n + 1) // 2 - 1]
+    mad = np.sort(abs(x - med), axis=0)[(n + 1) // 2 - 1] * 1.4826
+    d2 = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    estimate = lambda part, f: (part.mean(axis=0), np.cov(part.T, bias=True).reshape(4, 4) * f + floor)
+    scale = np.sqrt(mad**2 + np.diag(floor))
+    y = np.tanh((x - med) / scale)
+    q = y.T @ y
+    w = np.sqrt(np.diag(q) + n * 1e-3)
+    r = q / np.outer(w, w)
+    np.fill_diagonal(r, 1)
+    best = None
+    for m, c in (estimate(x, 1.0), (med, np.diag(scale**2)), (med, r * np.outer(scale, scale))):
+        last = np.inf
+        while True:
+            new = estimate(x[np.argsort(d2(m, c), kind="stable")[: n // 2 + 1]], quality.HALF_FACTOR)
+            det = np.linalg.slogdet(new[1])[1]
+            if det >= last - quality.TOLERANCE:
+                break
+            (m, c), last = new, det
+        if best is None or last < best[0]:
+            best = last, m, c
+    return d2(*estimate(x[d2(*best[1:]) <= quality.WITHIN], quality.WITHIN_FACTOR))
+
+
+def test_quality_verdicts_of_small_and_large_groups(spark):
+    rng = random.Random(21)
+    rows = []
+    for group, size in (("one", 1), ("two", 2), ("five", 5), ("fifty", 50), ("many", 500)):
+        for k in range(size):
+            t = sentence(rng, rng.randint(60, 500))
+            if k % 10 == 3:
+                t = " ".join(w + rng.choice(["#", "$%", "<>&"]) for w in t.split())
+            if k % 17 == 5:
+                t += " " + " ".join(t.split()[: rng.randint(3, 25)])
+            rows.append((len(rows), t, group, 1, "x", 2.0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int, kept string, m_0 double")
+    out = {r["doc_id"]: r for r in quality.judged(df, by=("lang",)).collect()}
+    assert len(out) == len(rows) and out[0]["in_n_words"] == 1 and out[0]["in_kept"] == "x" and out[0]["m_0"] == 2.0
+    units = [u for _, u, _ in quality.STATISTICS]
+    for group in ("one", "two", "five", "fifty", "many"):
+        own = [out[r[0]] for r in rows if r[2] == group and not out[r[0]]["base_failed"]]
+        n = np.array([r["n_words"] for r in own], float)
+        x = np.stack([np.log(n), np.log(np.array([r["word_chars"] for r in own]) / n), np.sqrt(np.array([r["n_symbols"] for r in own]) / n),
+                      np.sqrt(np.array([r["n_repeat_words"] + r["n_dup_lines"] for r in own]) / n)], axis=1)
+        want = mcd_distances(np.round(x / units) * units)
+        got = np.array([r["distance"] for r in own])
+        assert [r["kept"] for r in own] == [bool(d <= quality.CUTOFF) for d in want], group
+        assert np.allclose(got, want, rtol=0.25, atol=0.2), group
+    rejected = [r[0] for r in rows if not out[r[0]]["kept"] and not out[r[0]]["base_failed"]]
+    assert rejected and all(any(c in rows[i][1] for c in "#$<") for i in rejected)
+
+
 def test_language(spark):
     rng = random.Random(2)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60))
