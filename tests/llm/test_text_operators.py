@@ -225,6 +225,33 @@ def test_no_near_pair_is_missed():
     assert len(a) == len(crowd) - 1 and all((int(p) ^ int(q)).bit_count() <= 2 for p, q in zip(a, b))
 
 
+def test_crowded_anchors_link_the_same_components(spark):
+    rng = np.random.default_rng(2)
+    base = int(rng.integers(0, 1 << 62))
+    fps = {base ^ (1 << i) ^ (1 << j) for i in range(30) for j in range(i)} | {base ^ 7 ^ (1 << 40) ^ (1 << 41) ^ (1 << 42)} | set(map(int, rng.integers(0, 1 << 62, 50)))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    roots = []
+    for crowded in (simhash.CROWDED, 5):
+        links = simhash.fingerprint_links(df, crowded=crowded)
+        assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2 for a, b in map(tuple, links.collect()))
+        roots.append(sorted(map(tuple, components.components(links).collect())))
+    assert roots[0] == roots[1] and len(roots[0]) >= 435
+    with pytest.raises(ValueError):
+        simhash.fingerprint_links(df, threshold=3)
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(77)
+    a, b, c, d = (sentence(rng, 80) for _ in range(4))
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (7, c, 4), (7, c, 5), (None, d, 6), (None, d, 7), (None, b, 8), (None, None, 9), (9, "", 10), (None, "  ", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rk int")
+    out = simhash.keep_first(df)
+    assert out.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (5, b), (7, c), (None, d), (9, "")], key=str)
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -507,6 +534,119 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.pack_shard([60, 50, 40], [0, 1, 2], [1, 2, 1], 100) == [0, 1, 1]
 
 
+def best_fit(sizes, sources, clusters, capacity):
+    """Best fit by a plain scan of all bins."""
+    bins, out = [], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fits = [(b[0], k) for k, b in enumerate(bins) if b[0] >= sizes[i] and sources[i] not in b[1] and clusters[i] not in b[2]]
+        if fits:
+            k = min(fits)[0]
+            out[i] = [k2 for r, k2 in fits if r == k]
+        else:
+            bins.append([capacity, set(), set()])
+            out[i] = [len(bins) - 1]
+        yield i, out[i], bins
+
+
+def test_packing_is_best_fit_by_a_plain_scan():
+    rng = random.Random(6)
+    for _ in range(20):
+        n = rng.randint(1, 120)
+        sizes, sources, clusters = [rng.randint(1, 99) for _ in range(n)], [rng.choice([0, 0, 0, *range(9)]) for _ in range(n)], [rng.randint(0, 60) for _ in range(n)]
+        got = packing.pack_shard(sizes, sources, clusters, 100)
+        for i, allowed, bins in best_fit(sizes, sources, clusters, 100):
+            # of bins that are equally tight any will do
+            assert got[i] in allowed
+            b = bins[got[i]]
+            b[0] -= sizes[i]
+            b[1].add(sources[i])
+            b[2].add(clusters[i])
+        assert all(b[0] >= 0 for b in bins)
+
+
+def test_language_by_plain_out_of_place_distance(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    profiles = langid.learn_profiles(docs, ~langid.held_out(F.col("doc_id")))
+    texts = [r["text"] for r in docs.limit(40).collect()] + ["² ½", "٣", "a²", "नमस्ते दुनिया", None, ""]
+    ranker = langid.Ranker(profiles)
+    for t in texts:
+        own = Counter()
+        clean = langid.words_only(t or "")
+        for n in (1, 2, 3):
+            own.update(clean[i : i + n] for i in range(len(clean) - n + 1) if clean[i : i + n].strip() and " " not in clean[i + 1 : i + n - 1])
+        code = lambda g: int("".join(f"{ord(c):021b}" for c in g), 2)
+        order = [code(g) for g, _ in sorted(own.items(), key=lambda x: (-x[1], code(x[0])))][: langid.PROFILE]
+        best = None
+        for name in sorted(profiles):
+            rank = {g: i for i, g in enumerate(profiles[name].tolist())}
+            far = sum(abs(rank[g] - i) if g in rank else langid.PROFILE for i, g in enumerate(order))
+            best = (far, name) if best is None or far < best[0] else best
+        got, score = ranker.predict(t)
+        if any(c.isalpha() for c in t or ""):
+            assert got == best[1] and abs(score - (1 - best[0] / langid.PROFILE / len(order))) < 1e-9
+        else:
+            assert (got, score) == ("und", 0.0)
+    assert "नमस्ते" in langid.words_only("नमस्ते दुनिया")
+
+
+CLASHES = ("found", "kept", "gone", "n_words", "n_bytes", "n_removed", "n_spans", "score", "lang_pred", "fp", "rk", "bucket", "block", "g", "m_0", "l_00", "distance", "__id", "__rk", "__body", "start", "anchor", "print", "c0")
+
+
+def test_extra_columns_with_any_name(spark, texts):
+    rows = [(i, t, "en", "s", len(t or ""), *range(len(CLASHES))) for i, t in texts.items()]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` int" for c in CLASHES))
+    items = spark.createDataFrame([(1, texts[0][-60:])], "item_id long, text string")
+    profiles = langid.learn_profiles(df, F.lit(True))
+    outs = {
+        "substrings": substrings.remove_repeats(df), "suffixes": suffixes.remove_repeats(df), "quality": quality.judged(df), "langid": langid.identify(df, profiles),
+    }
+    for name, out in outs.items():
+        got = out.collect()
+        assert len(got) == len(rows), name
+        for i, c in enumerate(CLASHES):
+            own = c if f"in_{c}" not in out.columns else f"in_{c}"
+            assert {r[own] for r in got} == {i}, (name, c)
+    for out in (substrings.stripped_documents(df), simhash.keep_first(df), decontaminate.drop_contaminated(df, items), langid.identified(df, profiles)):
+        assert out.columns == names and out.count() > 0
+    for out in (simhash.near_duplicates(df), packing.pack(df), decontaminate.contamination(df, items)):
+        assert out.count() > 0
+    with pytest.raises(ValueError):
+        suffixes.remove_repeats(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_empty_tables(spark, docs):
+    import public_tokenizers
+
+    empty = docs.limit(0).withColumns({"source": F.lit("s"), "lang": F.lit("en"), "n_chars": F.lit(1)})
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for out in (
+        substrings.remove_repeats(empty), suffixes.remove_repeats(empty), simhash.near_duplicates(empty), packing.pack(empty), warc.archived(pages),
+        toxicity.toxicity(empty, labels, lambda c: F.lit(True)), tokencount.token_counts(empty, public_tokenizers.path("byte_bpe_50k.json")),
+        langid.identify(empty, langid.learn_profiles(empty, F.lit(True))),
+    ):
+        assert out.count() == 0
+
+
+def test_pipeline_on_nulls_repeats_and_nothing(spark, texts, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    long = {i: sentence(rng, 60) for i in range(20)}
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t)) for i, t in long.items()]
+    rows += [(3, long[3], "en", "s", 1), (None, long[4], None, None, None), (30, None, "en", "s", 0), (31, "", "en", "s", 0), (32, "12 34", "de", "s", 5), (33, long[5] + " " + sentence(rng, 30), "en", None, 9)]
+    kind = "doc_id long, text string, lang string, source string, n_chars int"
+    bench = spark.createDataFrame([(1, " ".join(long[7].split()[5:30]))], "item_id long, text string")
+    for name, part in (("some", rows), ("none", [])):
+        spark.createDataFrame(part, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert {r["doc_id"] for r in out} == (set(range(20)) | {33}) - {7}
+    assert sum(r["n_words"] for r in out) == 19 * 60 + 30
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_conserves(spark):
     import corpus_pipeline
 

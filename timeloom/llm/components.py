@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.storage import stored
+from timeloom.llm.storage import discard, stored
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -37,7 +37,9 @@ def components(edges: DataFrame, name: str = "components", most: int = 64) -> Da
         n, was = after.count(), current.count()
         # both are sets of edges: equal sizes and no edge that is new mean that nothing changed
         if n == was and after.join(current, ["a", "b"], "left_anti").isEmpty():
+            discard(after)
             break
+        discard(current)
         current = after
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")

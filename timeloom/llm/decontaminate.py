@@ -14,8 +14,8 @@ Plan: one scan of the documents; the fingerprints are exploded into a
 broadcast hash join with the benchmark's fingerprints inside one stage, so
 that unmatched fingerprints and all texts stay in the scanning task; one
 shuffle of a row per document plus one per hit.  The benchmark is broadcast
-only if it has at most ``broadcast_grams`` grams, otherwise (gram, position)
-rows are joined by a shuffle and only documents with a hit are read again.
+only if it has at most ``broadcast_grams`` grams, otherwise fingerprints are
+joined by a shuffle, each with the hashes of the words around it.
 
 Nulls, ties, repeats: a null text has no words; a null id is an ordinary
 group of its own; rows that repeat id and text each give a row; rows with one
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.text import NOT_FOLDED, lower_ascii, text_key, words
+from timeloom.llm.text import NOT_FOLDED, Carried, lower_ascii, text_key, words
 
 SPAN = 10
 GRAM = 5
@@ -204,6 +204,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
 
     Only the ids of contaminated rows are shuffled against the documents.
     """
-    bad = contamination(docs, items, **kw).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__rk")).distinct()
-    id_col, text_col = kw.get("doc_id", "doc_id"), kw.get("doc_text", "text")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]) & (text_key(docs[text_col]) == bad["__rk"]), "left_anti")
+    carried = Carried(docs)
+    own = {"doc_id": carried.of(kw.pop("doc_id", "doc_id")), "doc_text": carried.of(kw.pop("doc_text", "text"))}
+    bad = contamination(carried.df, items, **own, **kw).where("contaminated").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
+    here = carried.df[own["doc_id"]].eqNullSafe(bad["d"]) & (text_key(carried.df[own["doc_text"]]) == bad["k"])
+    return carried.named(carried.df.join(bad, here, "left_anti"))

@@ -13,12 +13,15 @@ what is sent to the executors does not grow with the data.
 
 Null texts and texts without a letter: ``und``, score 0.  Ties between n-grams
 go to the smaller code points, ties between languages to the smaller name.
-Without any labelled training text all rows are ``und``.  Repeated rows: a row each.
+Without any labelled training text all rows are ``und``: there is no language
+to name.  Repeated rows: a row each.  Other columns are carried; one named as
+a result column comes back with ``in_`` before its name.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from timeloom.llm.arrow import map_chunks
+from timeloom.llm.text import Carried
 
 PROFILE = 300
 PER_LANGUAGE = 2000
@@ -35,8 +39,7 @@ PER_LANGUAGE = 2000
 REJECT_BELOW = 0.05
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-_GAPS = re.compile(r"[\W\d_]+")
+_GAP = re.compile(r"[\W\d_]+")
 _BITS = 21  # of a code point
 
 
@@ -45,9 +48,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by Unicode category; digits such as the superscript two are none."""
+    return any(map(str.isalpha, text))
+
+
+def words_only(text: str) -> str:
+    """Lower-cased words, framed by one space.  Letters and the marks that belong to them stay, all else parts words."""
+    text = text.lower()
+    if text.isascii():
+        return f" {_GAP.sub(' ', text).strip()} "
+    kept = {c: c if unicodedata.category(c)[0] in "LM" else " " for c in set(text)}
+    return f" {' '.join(text.translate({ord(c): x for c, x in kept.items()}).split())} "
+
+
 def gram_codes(text: str) -> np.ndarray:
     """All n-grams of 1 to 3 characters as integers; runs of anything but letters are one space."""
-    clean = f" {_GAPS.sub(' ', text.lower()).strip()} "
+    clean = words_only(text)
     c = np.frombuffer(clean.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
     two = (c[:-1] << _BITS) | c[1:]
     three = (two[:-1] << _BITS) | c[2:]
@@ -113,7 +130,7 @@ class Ranker:
             self.ranks[np.searchsorted(self.grams, profiles[name]), j] = np.arange(len(profiles[name]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not has_letter(text):
             return UNDETERMINED, 0.0
         own = ranked(gram_codes(text), self.most)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
@@ -125,19 +142,26 @@ class Ranker:
 
 
 def identify(
-    docs: DataFrame, profiles: dict[str, np.ndarray], *, doc_id: str = "doc_id", text: str = "text", most: int = PROFILE
+    docs: DataFrame, profiles: dict[str, np.ndarray], *, text: str = "text", most: int = PROFILE
 ) -> DataFrame:
     """``docs`` with lang_pred and score; no shuffle.  Predictions read the text only."""
     ranker = Ranker(profiles, most)
-    schema = StructType(list(docs.schema.fields))
-    for name in ("lang_pred", "score"):
-        if name in docs.columns:
-            raise ValueError(f"column {name} exists")
+    carried = Carried(docs)
+    body = carried.of(text)
+    schema = StructType(list(carried.df.schema.fields))
 
     def work(chunk: pa.RecordBatch) -> dict:
-        said = [ranker.predict(t) for t in chunk.column(text).to_pylist()]
+        said = [ranker.predict(t) for t in chunk.column(body).to_pylist()]
         return {n: chunk.column(n) for n in chunk.schema.names} | {
             "lang_pred": pa.array([x for x, _ in said], pa.string()), "score": pa.array([x for _, x in said], pa.float64())
         }
 
-    return map_chunks(docs, text, schema.add("lang_pred", "string").add("score", "double"), work)
+    out = map_chunks(carried.df, body, schema.add("lang_pred", "string").add("score", "double"), work)
+    return carried.named(out, ["lang_pred", "score"])
+
+
+def identified(docs: DataFrame, profiles: dict[str, np.ndarray], *, text: str = "text", least: float = REJECT_BELOW) -> DataFrame:
+    """The rows of ``docs`` that are in one of the languages, in its own columns."""
+    carried = Carried(docs)
+    found = identify(carried.df, profiles, text=carried.of(text))
+    return carried.named(found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).drop("lang_pred", "score"))

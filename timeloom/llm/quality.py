@@ -43,7 +43,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.storage import stored
+from timeloom.llm.storage import discard, stored
 from timeloom.llm.text import SPACES, Carried, words
 
 SYMBOLS = "#*$%&|<>"
@@ -256,7 +256,8 @@ def estimates(rows: DataFrame) -> DataFrame:
         fell = _half(rows, now.where("moving").drop("logdet", "moving")).select(*keys, *[F.col(c).alias(f"new_{c}") for c in columns])
         moving = F.coalesce(F.col("new_logdet") < F.col("logdet") - TOLERANCE, F.lit(False))
         step = now.join(fell, keys, "left").withColumn("moving", moving)
-        now = stored(step.select(*keys, *[F.when(F.col("moving"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in columns], "moving"), "quality")
+        before, now = now, stored(step.select(*keys, *[F.when(F.col("moving"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in columns], "moving"), "quality")
+        discard(before)
     best = now.groupBy("g").agg(F.min_by(F.struct(*_M, *_L), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
     best = stored(best, "quality")
     near = rows.join(best, "g").where(_distance() <= WITHIN).groupBy("g").agg(F.count(F.lit(1)).alias("n"), *_sums())

@@ -14,11 +14,14 @@ Equal fingerprints are one before that.  At an anchor, tenants and copies are
 compared; a large anchor isn't compared pair by pair but through the
 fingerprints' neighbours at half the threshold (two fingerprints within 2 bits
 share one within 1 bit of both).  An anchor hands on a forest of links, at
-most one per fingerprint, never all pairs.
+most one per fingerprint, never all pairs.  Anchors with more than ``CROWDED``
+copies (a template in many variants) aren't collected in a task: there each
+fingerprint is dealt to its neighbours within half the threshold instead, and
+links to the smallest fingerprint of each, of which there are 65 at most.
 
 Null texts and texts without a word have fingerprint zero.  Null ids are left
 out of the choice of a component's smallest id unless there is no other.
-Repeated rows: a row each.
+Repeated rows: a row each.  The threshold must be even.
 """
 
 from __future__ import annotations
@@ -29,19 +32,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.llm.arrow import map_chunks
 from timeloom.llm.components import components
 from timeloom.llm.storage import stored
-from timeloom.llm.text import shuffle_partitions
+from timeloom.llm.text import Carried, shuffle_partitions, text_key
 
 SHINGLE = 3
 THRESHOLD = 2
 SEED = 42
 #: Fingerprints at an anchor that are compared pair by pair.
 PAIRWISE = 64
+#: Copies at an anchor that one task takes together.
+CROWDED = 4096
 #: Generator of the Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0xAE3
 _STRETCHES = ((0, 23, 3), (23, 23, 3), (46, 15, 1))
@@ -67,14 +72,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
-    bare = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """doc_id, rk (a checksum of the text) and fp (the 64 bits as a signed long) of every row."""
+    bare = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("rk"), F.col(text).alias("text"))
 
     def work(chunk: pa.RecordBatch) -> dict:
         fps = np.array([fingerprint(t, shingle) for t in chunk.column("text").to_pylist()], np.uint64).view(np.int64)
-        return {"doc_id": chunk.column("doc_id"), "fp": pa.array(fps, pa.int64())}
+        return {"doc_id": chunk.column("doc_id"), "rk": chunk.column("rk"), "fp": pa.array(fps, pa.int64())}
 
-    return map_chunks(bare, "text", f"doc_id {bare.schema['doc_id'].dataType.simpleString()}, fp bigint", work)
+    return map_chunks(bare, "text", f"doc_id {bare.schema['doc_id'].dataType.simpleString()}, rk bigint, fp bigint", work)
 
 
 def _golay_syndrome(word: int) -> int:
@@ -195,9 +200,7 @@ def _near(fps: np.ndarray, threshold: int) -> np.ndarray:
     around, owner = around[order], owner[order]
     same = np.flatnonzero(around[1:] == around[:-1])
     a, b = owner[same], owner[same + 1]
-    if threshold % 2 == 0:
-        return _forest(np.unique(np.stack([a, b], axis=1), axis=0))
-    raise ValueError("the threshold must be even")
+    return _forest(np.unique(np.stack([a, b], axis=1), axis=0))
 
 
 def links_at(anchor: np.ndarray, fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -224,8 +227,10 @@ def links_at(anchor: np.ndarray, fps: np.ndarray, threshold: int = THRESHOLD) ->
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def fingerprint_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def fingerprint_links(fps: DataFrame, threshold: int = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all within ``threshold`` bits."""
+    if threshold % 2:
+        raise ValueError("the threshold must be even")
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,24 +260,56 @@ def fingerprint_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             yield out(held_a, held_f)
 
     spark = fps.sparkSession
-    copies = fps.mapInArrow(copy, "anchor bigint, fp bigint")
+    # the distinct fingerprints may lie in a few files
+    copies = fps.repartition(shuffle_partitions(spark)).mapInArrow(copy, "anchor bigint, fp bigint")
+    counted = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("anchor")
+    hot = stored(counted, "simhash-crowded")
+    if hot.isEmpty():
+        return _compared(copies, compare, spark)
+    # at most one of ``crowded`` copies is a crowded anchor; adaptive execution chooses the join by the size
+    rest = _compared(copies.join(hot, "anchor", "left_anti"), compare, spark)
+    masks = [sum(1 << i for i in c) for w in range(threshold // 2 + 1) for c in combinations(range(64), w)]
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    near = copies.join(hot, "anchor", "left_semi").select("fp").distinct().select("fp", F.explode(signed).alias("mask"))
+    near = near.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("near"))
+    least = F.min("fp").over(Window.partitionBy("near"))
+    return rest.unionByName(near.select(least.alias("a"), F.col("fp").alias("b")).where("a < b").distinct())
+
+
+def _compared(copies: DataFrame, compare, spark) -> DataFrame:
     dealt = copies.repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor", "fp")
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fp, component_id (the smallest id of the component) of every row."""
+    """doc_id, rk, fp, component_id (the smallest id of the component), component_rk (the smallest checksum with it) of every row."""
     marked = stored(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "simhash")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    # null ids last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("least")
+    distinct = stored(marked.groupBy("fp").agg(first), "simhash-distinct")
     roots = components(fingerprint_links(distinct.select("fp"), threshold), "simhash-links")
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_fp = named.join(least, "root").select("fp", "component_id")
+    least = named.groupBy("root").agg(F.min("least").alias("least"))
+    per_fp = named.drop("least").join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.rk").alias("component_rk"))
     # the text of a third of all rows may have one fingerprint: adaptive execution splits that side of the join
-    return marked.join(per_fp, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows without an id stay."""
-    dropped = near_duplicates(docs, doc_id=doc_id, **kw).where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, docs[doc_id] == dropped["__id"], "left_anti")
+    return marked.join(per_fp, "fp").select("doc_id", "rk", "fp", "component_id", "component_rk")
+
+
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+    """One row of each component, in the columns of ``docs``: that with the smallest id (null ids last), then the smallest checksum of the text.
+
+    Of rows that repeat both, one stays.
+    """
+    carried = Carried(docs)
+    own_id, own_text = carried.of(doc_id), carried.of(text)
+    marked = stored(near_duplicates(carried.df, doc_id=own_id, text=own_text, **kw), "simhash-marked")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("rk") == F.col("component_rk"))
+    dropped = marked.where(~first).select(F.col("doc_id").alias("d"), F.col("rk").alias("k")).distinct()
+    rows = carried.df.withColumn("rk", text_key(F.col(own_text)))
+    here = lambda other: rows[own_id].eqNullSafe(other["d"]) & (rows["rk"] == other["k"])
+    rows = rows.join(dropped, here(dropped), "left_anti")
+    again = stored(marked.where(first).groupBy(F.col("doc_id").alias("d"), F.col("rk").alias("k")).count().where("count > 1").drop("count"), "simhash-again")
+    if not again.isEmpty():
+        repeated = rows.join(again, here(again), "left_semi").dropDuplicates([own_id, "rk"])
+        rows = rows.join(again, here(again), "left_anti").unionByName(repeated)
+    return carried.named(rows.drop("rk"))
