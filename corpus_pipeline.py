@@ -15,12 +15,11 @@ from timeloom.llm import decontaminate, langid, packing, simhash, storage, subst
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those far from every language's profile."""
     profiles = langid.learn_profiles(docs, ~langid.held_out(F.col("doc_id")))
-    found = langid.identify(docs, profiles)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= langid.REJECT_BELOW)).select(*docs.columns)
+    return langid.identified(docs, profiles)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash component."""
+    """Keeps one document of each SimHash component: the smallest id, then one of its texts."""
     return simhash.keep_first(docs)
 
 
@@ -55,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = storage.stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, storage.stored(stage(spark, docs, sf_dir), name)
+        storage.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
