@@ -149,9 +149,16 @@ def test_attention(spark):
     assert np.allclose(got, attention.importance_of(a, window=2))
     got = [r["importance"] for r in attention.importance(df, how="median").orderBy("j").collect()]
     assert np.allclose(got, attention.importance_of(a, values=v, how="median"))
-    roll = attention.rollout(df).toPandas().sort_values(["i", "j"])["r"].to_numpy().reshape(5, 5)
-    eye = np.eye(5)
-    assert np.allclose(roll, (a[1].mean(0) + eye) / 2 @ ((a[0].mean(0) + eye) / 2))
+    roll = attention.rollout(df).toPandas().sort_values(["head", "i", "j"])["r"].to_numpy().reshape(3, 5, 5)
+    want = np.stack([(a[1, h] + np.eye(5)) @ (a[0, h] + np.eye(5)) / 4 for h in range(3)])  # heads are rolled out apart
+    assert np.allclose(roll, want) and np.allclose(attention.rollout_of(a), want)
+    got = [r["importance"] for r in attention.metric(df, "rollout-mean_log").orderBy("j").collect()]
+    assert np.allclose(got, np.log(want.sum(axis=1)).mean(axis=0))
+    got = [r["importance"] for r in attention.metric(df.withColumn("f_norm", F.lit(2.0)), "h2o-normed-mean").orderBy("j").collect()]
+    assert np.allclose(got, attention.importance_of(2 * a))
+    stops = spark.createDataFrame([("s", 2)], "sid string, first_stop int")
+    masked = attention.until_stop(attention.metric(df, "h2o-mean"), stops).orderBy("j").collect()
+    assert [r["importance"] is None for r in masked] == [False, False, False, True, True]
 
 
 def test_mc_and_projection(spark):
@@ -257,3 +264,59 @@ def test_lookups(spark):
     ep = lookups.shuffled_epochs(df, 2, ["t"])
     assert ep.count() == 6 and ep.select("epoch").distinct().count() == 2
     assert lookups.sample_keys(df, "u", 1.0).count() == 3 and lookups.sample_keys(df, "u", 0.0).count() == 0
+
+
+def tiny_tokenizer(spark, tmp_path, **options):
+    from timeloom.operators.timeline import TimelineTokenizer
+    from timeloom.sources.config import TimelineConfig
+
+    stays = [(i, at(0), at(100000), float(20 + i), "f") for i in range(40)]
+    spark.createDataFrame(stays, "stay long, t0 timestamp_ntz, t1 timestamp_ntz, years double, sex string").write.parquet(f"{tmp_path}/stays.parquet")
+    labs = [(i % 40, at(60 * (i // 40)), "Na", float(i), 10.0 if i % 5 else 11.0, 50.0) for i in range(200)]
+    labs += [(0, at(600), "Na", 199.0, None, None)] * 2
+    spark.createDataFrame(labs, "stay long, t timestamp_ntz, lab string, x double, ref_range_lower double, ref_range_upper double").write.parquet(f"{tmp_path}/labs.parquet")
+    raw = {
+        "subject_id": "stay", "reference": {"table": "stays", "start_time": "t0", "end_time": "t1", "age": "years"}, "options": options,
+        "prefix": [{"column": "sex", "prefix": "SEX"}, {"column": "quantized_age", "prefix": "AGE"}], "suffix": [],
+        "events": [{"table": "labs", "prefix": "LAB", "code": "lab", "numeric_value": "x", "time": "t"}],
+    }
+    return TimelineTokenizer(TimelineConfig.from_dict(raw), spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("fused", [False, True])
+def test_age_token_and_repeated_events(spark, tmp_path, fused):
+    tokenizer = tiny_tokenizer(spark, tmp_path, fused_category_values=fused, include_time_spacing_tokens=False)
+    out = {r["sid"]: r["words"] for r in tokenizer.transform(tokenizer.fit()).collect()}
+    for i in (0, 17, 39):
+        share = sum(20 + i >= np.quantile(np.arange(20, 60), q / 10) for q in range(1, 10))
+        assert out[str(i)][:3] == ["TL_START", "SEX_f", f"AGE_Q{share}" if fused else f"Q{share}"]
+    # two equal rows: their tokens do not mix
+    assert out["0"][-5:-1] == (["LAB_na_Q9", "LAB_na_Q9"] if not fused else out["0"][-5:-3] + ["LAB_na_Q9"] * 2) or out["0"][-5:-1] == ["LAB_na", "Q9", "LAB_na", "Q9"]
+
+
+def test_reference_ranges_reach_the_tokenizer(spark, tmp_path):
+    tokenizer = tiny_tokenizer(spark, tmp_path, quantizer="ventiles", include_ref_ranges=True)
+    edges = {r["designator"]: r["breaks"] for r in tokenizer.fit().aux.collect()}["LAB_na"]
+    assert 10.0 in edges and 50.0 in edges and edges == sorted(edges)
+
+
+def test_null_keys_and_times_match_nothing(spark):
+    left = spark.createDataFrame([(None, at(5)), (1, at(5)), (1, None)], "k long, t timestamp_ntz")
+    right = spark.createDataFrame([(None, at(3)), (1, None), (None, at(6)), (1, at(4)), (1, at(7))], "k long, t timestamp_ntz")
+    for backward, want in ((True, at(4)), (False, at(7))):
+        got = joins.asof_join(left, right, "k", "t", "t", [], backward=backward).collect()
+        assert sorted((str(r["k"]), str(r["t"]), r["t_right"]) for r in got) == sorted([("None", str(at(5)), None), ("1", str(at(5)), want), ("1", "None", None)], key=str)
+    flags = joins.flag_followed(left, right, "k", "t", 200, "f").collect()
+    assert sorted((str(r["k"]), str(r["t"]), r["f"]) for r in flags) == sorted([("None", str(at(5)), 0), ("1", str(at(5)), 1), ("1", "None", 0)])
+
+
+def test_one_class_constant_values_and_the_prototype(spark):
+    df = spark.createDataFrame([("a", 1, 0.2), ("a", 0, 0.7), ("b", 0, 0.5), ("b", 0, 0.6)], "g string, y int, score double")
+    got = {r["g"]: r["pr_auc"] for r in evaluation.pr_auc(df, by=["g"]).collect()}
+    assert got["b"] is None and got["a"] is not None
+    assert {r["tpr"] for r in evaluation.roc_curve(df.where("g = 'b'")).collect()} == {None}
+    flat = spark.createDataFrame([(3.0,)] * 4, "v double")
+    assert [(r["left_edge"], r["n"], r["density"]) for r in evaluation.histogram(flat, "v", 2).collect()] == [(3.0, 4, 2.0)]
+    rows = spark.createDataFrame([("s", 0, [1.0, 0.0]), ("s", 1, [1.0, 1.0])], "sid string, pos int, v array<double>")
+    out = information.prototype_projection(rows, "v", F.array(F.lit(1.0), F.lit(0.0))).orderBy("pos").collect()
+    assert out[0]["proj_abs"] == 1.0 and out[1]["proj_rel"] is None

@@ -23,11 +23,11 @@ def reducer(name: str):
 
 
 def rollout_of(attention: np.ndarray) -> np.ndarray:
-    """Product over layers, later ones on the left, of half attention (heads averaged) and half identity; layers x heads x n x n."""
-    n = attention.shape[-1]
-    out = np.eye(n)
-    for layer in attention.mean(axis=1):
-        out = (layer + np.eye(n)) @ out / 2
+    """Per head the product over layers, later ones on the left, of half attention and half identity; layers x heads x n x n to heads x n x n."""
+    same = np.eye(attention.shape[-1])
+    out = np.broadcast_to(same, attention.shape[1:])
+    for layer in attention:
+        out = (layer + same) @ out / 2
     return out
 
 
@@ -54,14 +54,15 @@ def _matrices(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def rollout(rows: DataFrame) -> DataFrame:
-    """(sid, i, j, r) from (sid, layer, head, i, j, a); a group is bounded by the sequence length squared."""
+    """(sid, head, i, j, r) from (sid, layer, head, i, j, a): heads are apart; a group is bounded by layers times the sequence length squared."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = rollout_of(_matrices(pdf))
+        head = pdf["head"].iloc[0]
+        r = rollout_of(_matrices(pdf.assign(head=0)))[0]
         i, j = np.indices(r.shape)
-        return pd.DataFrame({"sid": pdf["sid"].iloc[0], "i": i.ravel(), "j": j.ravel(), "r": r.ravel()})
+        return pd.DataFrame({"sid": pdf["sid"].iloc[0], "head": head, "i": i.ravel(), "j": j.ravel(), "r": r.ravel()})
 
-    return rows.groupBy("sid").applyInPandas(one, f"sid {rows.schema['sid'].dataType.simpleString()}, i long, j long, r double")
+    return rows.groupBy("sid", "head").applyInPandas(one, f"sid {rows.schema['sid'].dataType.simpleString()}, head int, i long, j long, r double")
 
 
 def importance(rows: DataFrame, window: int | None = None, how: str = "mean") -> DataFrame:
@@ -91,12 +92,28 @@ def last_layer(rows: DataFrame) -> DataFrame:
 METRICS = {
     "h2o-mean": (None, False, False, "mean"), "h2o-mean_log": (None, False, False, "mean_log"), "h2o-median": (None, False, False, "median"),
     "h2o-max": (None, False, False, "max"), "scissorhands-10": (10, False, False, "mean"), "scissorhands-20": (20, False, False, "mean"),
-    "h2o-va-mean": (None, True, False, "mean"), "h2o-last-mean": (None, False, True, "mean"),
+    "h2o-va-mean": (None, True, False, "mean"), "h2o-va-mean_log": (None, True, False, "mean_log"), "h2o-last-mean": (None, False, True, "mean"),
+    "scissorhands-va-10": (10, True, False, "mean"), "scissorhands-va-20": (20, True, False, "mean"),
 }
 
 
+def until_stop(rows: DataFrame, stops: DataFrame, value: str = "importance") -> DataFrame:
+    """Nulls ``value`` (sid, j, value) behind each subject's first stop token; ``stops``: sid, first_stop (0 or null: none)."""
+    known = rows.join(stops, "sid", "left")
+    return known.withColumn(value, F.when((F.col("first_stop") > 0) & (F.col("j") > F.col("first_stop")), None).otherwise(F.col(value))).drop("first_stop")
+
+
 def metric(rows: DataFrame, name: str) -> DataFrame:
-    """(sid, j, importance) of a named metric."""
+    """(sid, j, importance) of a named metric.
+
+    ``rollout-`` takes the rolled-out attention; ``h2o-normed-`` weighs a
+    query's row by ``f_norm``, the length of its transformed value.
+    """
+    if name in ("rollout-mean", "rollout-mean_log"):
+        rolled = rollout(rows).select("sid", F.lit(0).alias("layer"), "head", "i", "j", F.col("r").alias("a"))
+        return importance(rolled, None, name.split("-")[1])
+    if name in ("h2o-normed-mean", "h2o-normed-mean_log"):
+        return importance(rows.drop("v_norm").withColumn("a", F.abs("a") * F.col("f_norm")), None, name.split("-")[2])
     if name not in METRICS:
         raise ValueError(f"no metric {name}; there are {sorted(METRICS)}")
     window, weighed, last, how = METRICS[name]

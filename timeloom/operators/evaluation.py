@@ -31,17 +31,17 @@ def _curve(df: DataFrame, y: str, score: str, by: list[str], digits: int | None)
 
 
 def roc_curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """threshold, fpr, tpr at each distinct score."""
-    return _curve(df, y, score, by or [], None).select(*(by or []), F.col("s").alias("threshold"), (F.col("fp") / F.col("all_n")).alias("fpr"), (F.col("tp") / F.col("all_p")).alias("tpr"))
+    """threshold, fpr, tpr at each distinct score; null where a label doesn't occur."""
+    return _curve(df, y, score, by or [], None).select(*(by or []), F.col("s").alias("threshold"), F.try_divide("fp", "all_n").alias("fpr"), F.try_divide("tp", "all_p").alias("tpr"))
 
 
 def pr_curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, digits: int | None = 4) -> DataFrame:
     """threshold, precision, recall at each distinct (rounded) score."""
-    return _curve(df, y, score, by or [], digits).select(*(by or []), F.col("s").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("all_p")).alias("recall"))
+    return _curve(df, y, score, by or [], digits).select(*(by or []), F.col("s").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "all_p").alias("recall"))
 
 
 def pr_auc(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, digits: int | None = 4) -> DataFrame:
-    """Trapezoids under the precision-recall curve, which starts at recall 0, precision 1."""
+    """Trapezoids under the precision-recall curve, which starts at recall 0, precision 1; null without positives."""
     by = by or []
     w = Window.partitionBy(*by).orderBy(F.col("threshold").desc())
     rows = pr_curve(df, y, score, by, digits).withColumn("r0", F.coalesce(F.lag("recall").over(w), F.lit(0.0))).withColumn("p0", F.coalesce(F.lag("precision").over(w), F.lit(1.0)))
@@ -71,10 +71,12 @@ def calibration(df: DataFrame, y: str = "y", score: str = "score", bins: int = 1
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10, by: list[str] | None = None) -> DataFrame:
-    """Counts and densities over shared uniform edges; the last bin holds its right edge."""
+    """Counts and densities over shared uniform edges; the last bin holds its right edge.  Constant values: edges half a unit around them."""
     by = by or []
     rows = df.where(~F.isnan(value) & (F.abs(value) < float("inf")))
     edges = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))  # one row
+    half = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    edges = edges.select((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     b = F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
     counts = rows.crossJoin(F.broadcast(edges)).withColumn("width", width).groupBy(*by, b.alias("bin"), "lo", "width").agg(F.count(F.lit(1)).alias("n"))
@@ -100,7 +102,7 @@ def resampled(df: DataFrame, row: str, n_rows: int, replicates: int, seed: int =
     by a hash, so that draws can be made anywhere and made again.
     """
     spark = df.sparkSession
-    draws = spark.range(replicates * n_rows).select((F.col("id") / n_rows).cast("long").alias("replicate"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_rows)).alias(row))
+    draws = spark.range(replicates * n_rows).select(F.expr(f"id div {n_rows}").alias("replicate"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_rows)).alias(row))
     counts = draws.groupBy("replicate", row).agg(F.count(F.lit(1)).alias("w"))
     return counts.join(df, row)
 
@@ -120,13 +122,13 @@ def bootstrap_ci(df: DataFrame, row: str, n_rows: int, *, y: str = "y", score: s
 
 
 def bootstrap_p(df: DataFrame, row: str, n_rows: int, score_a: str, score_b: str, *, y: str = "y", replicates: int = 200, seed: int = 0) -> DataFrame:
-    """p-values of the difference of two AUCs against resamples of the pooled rows."""
+    """p-values of the difference of two AUCs (the second less the first) against resamples of the pooled rows."""
     pooled = df.select(F.col(row), F.col(y), F.col(score_a).alias("s")).unionByName(df.select((F.col(row) + n_rows).alias(row), F.col(y), F.col(score_b).alias("s")))
     auc = lambda s, a: roc_auc(df, y, s).withColumnRenamed("roc_auc", a)
-    seen = auc(score_a, "a").crossJoin(auc(score_b, "b")).select((F.col("a") - F.col("b")).alias("seen"))  # one row each
+    seen = auc(score_a, "a").crossJoin(auc(score_b, "b")).select((F.col("b") - F.col("a")).alias("seen"))  # one row each
     null = resampled_pool(pooled, row, n_rows, replicates, seed)
     per = weighted_auc(null, y, "s", "w", ["replicate", "model"])
-    d = per.groupBy("replicate").agg((F.max(F.when(F.col("model") == 0, F.col("auc"))) - F.max(F.when(F.col("model") == 1, F.col("auc")))).alias("d"))
+    d = per.groupBy("replicate").agg((F.max(F.when(F.col("model") == 1, F.col("auc"))) - F.max(F.when(F.col("model") == 0, F.col("auc")))).alias("d"))
     return d.crossJoin(F.broadcast(seen)).groupBy("seen").agg(
         F.avg((F.col("d") > F.col("seen")).cast("double")).alias("p_one_sided"), F.avg((F.abs("d") > F.abs("seen")).cast("double")).alias("p_two_sided")
     )
@@ -136,7 +138,7 @@ def resampled_pool(pooled: DataFrame, row: str, n_rows: int, replicates: int, se
     """For each replicate and each of two models n_rows draws from the 2 * n_rows pooled rows."""
     spark = pooled.sparkSession
     draws = spark.range(2 * replicates * n_rows).select(
-        (F.col("id") / (2 * n_rows)).cast("long").alias("replicate"), ((F.col("id") / n_rows).cast("long") % 2).alias("model"),
+        F.expr(f"id div {2 * n_rows}").alias("replicate"), F.expr(f"id div {n_rows} % 2").alias("model"),
         F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2 * n_rows)).alias(row),
     )
     return draws.groupBy("replicate", "model", row).agg(F.count(F.lit(1)).alias("w")).join(pooled, row)

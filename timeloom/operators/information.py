@@ -31,7 +31,7 @@ def top_quantile_counts(rows: DataFrame, key: str, value: str, q: float) -> Data
 
 
 def redact(
-    tokens: DataFrame, value: str, *, k: int | None = None, pct: float | None = None, method: str = "top", how: str = "max",
+    tokens: DataFrame, value: str, *, k: int | None = None, pct: float | None = None, method: str = "top", how: str = "sum",
     sid: str = "sid", ts: str = "ts", pos: str = "pos", seed: int = 0,
 ) -> DataFrame:
     """Drops all tokens of the k (or the share pct) most, least or randomly informative events.
@@ -89,14 +89,14 @@ def mc_estimates(rows: DataFrame, *, sid: str = "sid", sample: str = "sample", p
 
 
 def prototype_projection(rows: DataFrame, vector: str, prototype: Column, sid: str = "sid", pos: str = "pos") -> DataFrame:
-    """Adds proj_abs and proj_rel: the step along the prototype, and along the way that is left to it."""
+    """Adds proj_abs and proj_rel: the step along the prototype, and along the way that is left to it; null where there is none."""
     from timeloom.functions.arrays import dot
 
     zero = F.transform(vector, lambda x: x * 0)
     before = F.coalesce(F.lag(vector).over(Window.partitionBy(sid).orderBy(pos)), zero)
     rows = rows.withColumns({"__b": before, "__p": prototype})
     step, left = minus(F.col(vector), F.col("__b")), minus(F.col("__p"), F.col("__b"))
-    return rows.withColumns({"proj_abs": dot(step, F.col("__p")) / norm2(F.col("__p")), "proj_rel": dot(step, left) / norm2(left)}).drop("__b", "__p")
+    return rows.withColumns({"proj_abs": F.try_divide(dot(step, F.col("__p")), norm2(F.col("__p"))), "proj_rel": F.try_divide(dot(step, left), norm2(left))}).drop("__b", "__p")
 
 
 def final_states(rows: DataFrame, vector: str, token: str, pad: int, sid: str = "sid", pos: str = "pos") -> DataFrame:

@@ -55,9 +55,10 @@ def band_join(left: DataFrame, right: DataFrame, on: str, ts: str, after: str, o
 def flag_followed(left: DataFrame, right: DataFrame, on: str, ts: str, seconds: int, flag: str, open_start: bool = True) -> DataFrame:
     """Adds 0/1: whether ``right`` has a row of the same key within so many seconds behind.
 
-    One sort per key of both sides' times, no pairs: the next right time is a window minimum.
+    One sort per key of both sides' times, no pairs: the next right time is a
+    window minimum.  Null keys and times match nothing.
     """
-    marked = left.withColumn("__own", F.lit(True)).unionByName(right.select(on, ts).withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    marked = left.withColumn("__own", F.lit(True)).unionByName(right.select(on, ts).dropna().withColumn("__own", F.lit(False)), allowMissingColumns=True)
     at = micros(F.col(ts))
     ahead = Window.partitionBy(on).orderBy(at).rangeBetween(1 if open_start else 0, seconds * 1_000_000)
     hit = F.coalesce(F.max(F.when(~F.col("__own"), 1)).over(ahead), F.lit(0))
@@ -70,15 +71,15 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts
     Both sides are put in one order per key and the last right row seen is
     carried along: one shuffle and sort, linear in the rows.  ``columns`` of
     the right row come along; of equal right times that with the largest
-    ``columns`` is used.
+    ``columns`` is used.  Null keys and times match nothing.
     """
     payload = F.struct(F.col(right_ts).alias("__t"), *[F.col(c).alias(c) for c in columns])
     lhs = left.withColumns({"__k": F.col(on), "__at": F.col(left_ts), "__right": F.lit(None).cast(right.select(payload.alias("x")).schema["x"].dataType), "__side": F.lit(1)})
-    rhs = right.groupBy(F.col(on).alias("__k"), F.col(right_ts).alias("__at")).agg(F.max(payload).alias("__right")).withColumn("__side", F.lit(0))
+    rhs = right.dropna(subset=[on, right_ts]).groupBy(F.col(on).alias("__k"), F.col(right_ts).alias("__at")).agg(F.max(payload).alias("__right")).withColumn("__side", F.lit(0))
     both = lhs.unionByName(rhs, allowMissingColumns=True)
     order = [F.col("__at").asc(), F.col("__side").asc()] if backward else [F.col("__at").desc(), F.col("__side").asc()]
     w = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("__seen", F.last("__right", ignorenulls=True).over(w)).where("__side = 1")
+    out = both.withColumn("__seen", F.when(F.col("__at").isNotNull(), F.last("__right", ignorenulls=True).over(w))).where("__side = 1")
     names = {c: (c if c not in left.columns else f"{c}_right") for c in columns}
     matched = right_ts if right_ts not in left.columns else f"{right_ts}_right"
     return out.select(*left.columns, F.col("__seen.__t").alias(matched), *[F.col("__seen")[c].alias(n) for c, n in names.items() if c != right_ts])

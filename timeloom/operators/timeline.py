@@ -18,10 +18,16 @@ from timeloom.sources.tables import load, read_table
 
 #: Order of the tokens of a subject, without ties.
 ORDER = ["ts", "first_token", "ord", "key", "pos"]
+#: Designator of the ages of the reference frame.
+AGE = "AGE"
 
 
-def event_rows(df: DataFrame, specs: list[dict], subject_id: str, key: Column) -> DataFrame:
-    """All event specs of one table in one scan: sid, ts, ord, key, and either words or (category, value).
+def event_rows(df: DataFrame, specs: list[dict], subject_id: str, key: Column, ref_ranges: bool = False) -> DataFrame:
+    """All event specs of one table in one scan: sid, ts, ord, key, words, value, numeric, lower and upper.
+
+    ``key`` comes back as (key, copy): rows that repeat have copies 1, 2, ..,
+    so that their tokens do not mix.  ``ref_ranges`` takes the columns
+    ref_range_lower and ref_range_upper along where the table has them.
 
     A spec: time, code (column or list), prefix, numeric_value, text_value,
     filter_expr, ordinal.  Each row yields a struct per spec whose filter it
@@ -48,16 +54,21 @@ def event_rows(df: DataFrame, specs: list[dict], subject_id: str, key: Column) -
         ))
 
     events = F.array_compact(F.array(*[one(s) for s in specs]))
-    return (
-        df.select(F.col(subject_id).cast("string").alias("sid"), key.alias("key"), F.explode(events).alias("e"))
-        .select("sid", "key", "e.*")
+    has = ref_ranges and {"ref_range_lower", "ref_range_upper"} <= set(df.columns)
+    limits = [(F.col(f"ref_range_{n}") if has else F.lit(None)).cast("double").alias(n) for n in ("lower", "upper")]
+    rows = (
+        df.select(F.col(subject_id).cast("string").alias("sid"), key.alias("key"), *limits, F.explode(events).alias("e"))
+        .select("sid", "key", "lower", "upper", "e.*")
         .where("ts is not null")
     )
+    # dealt by what the windows of ``long_tokens`` are dealt by: their shuffle is this one
+    copy = F.row_number().over(Window.partitionBy("sid", "ts", "ord", "key").orderBy("ts"))
+    return rows.withColumn("key", F.struct("key", copy.alias("copy")))
 
 
 def designators(events: DataFrame) -> DataFrame:
-    """Numeric rows as (designator, value, ord)."""
-    return events.where("numeric").select(F.col("words")[0].alias("designator"), "value", "ord")
+    """Numeric rows as (designator, value, ord, lower, upper)."""
+    return events.where("numeric").select(F.col("words")[0].alias("designator"), "value", "ord", "lower", "upper")
 
 
 def with_bins(events: DataFrame, breaks: DataFrame, labels: list[str], fused: bool, digits: int | None = None) -> DataFrame:
@@ -156,7 +167,7 @@ def static_words(specs: list[dict], start: bool) -> Column:
         if s.get("is_list"):
             parts.append(_list_words(c, s.get("prefix")))
         else:
-            parts.append(F.array(static_word(c, s.get("prefix"))))
+            parts.append(F.array(c if s["column"].startswith("quantized") else static_word(c, s.get("prefix"))))
     edge = F.array(F.lit("TL_START" if start else "TL_END"))
     return F.concat(edge, *parts) if start else F.concat(*parts, edge)
 
@@ -214,25 +225,33 @@ class TimelineTokenizer:
                 spans = ref.select(ref_key, self.config.subject_id, F.col(r["start_time"]).alias("__start"), F.col(r["end_time"]).alias("__end"))
                 df = df.join(spans, ref_key).where(F.col(specs[0]["time"]).between(F.col("__start"), F.col("__end")))
             key = F.xxhash64(*[F.col(c) for c in sorted(df.columns) if not c.startswith("__")])
-            rows = event_rows(df, specs, self.config.subject_id, key)
+            rows = event_rows(df, specs, self.config.subject_id, key, self.config.options.include_ref_ranges)
             found = rows if found is None else found.unionByName(rows)
         return found
 
-    def _statics(self) -> DataFrame:
-        c = self.config
+    def _statics(self, breaks: DataFrame) -> DataFrame:
+        """sid, start, end, prefix and suffix words; ``quantized_age`` is the word of the age's bin."""
+        c, o = self.config, self.config.options
         ref = self.reference()
+        if age := c.reference.get("age"):
+            ref = apply_breaks(ref.withColumn("designator", F.lit(AGE)), breaks.where(F.col("designator") == AGE), value=age)
+            name = F.get(F.array(*[F.lit(x) for x in bin_words(o.quantizer)]), F.col("bin"))
+            word = F.concat_ws("_", F.lit(AGE), name) if o.fused_category_values else name
+            ref = ref.withColumn("quantized_age", F.when(name.isNotNull(), word).otherwise("None")).drop("designator", "bin")
         start, end = (to_ms(F.col(c.reference[k])) for k in ("start_time", "end_time"))
-        age = c.reference.get("age")
         columns = [F.col(c.subject_id).cast("string").alias("sid"), start.alias("start"), end.alias("end"), static_words(c.prefix, True).alias("prefix"), static_words(c.suffix, False).alias("suffix")]
-        return ref.select(*columns, (F.col(age).cast("double") if age else F.lit(None).cast("double")).alias("age"))
+        return ref.select(*columns)
 
     def fit(self) -> Vocabulary:
         o = self.config.options
-        events, statics = self.events(), self._statics()
+        events = self.events()
         values = designators(events)
-        if self.config.reference.get("age"):
-            values = values.unionByName(statics.select(F.lit("AGE").alias("designator"), F.col("age").alias("value"), F.lit(-1).alias("ord")))
-        breaks = learn_breaks(values, quantizer=o.quantizer, detect_discrete=o.detect_discrete, ordinal="ord")
+        if age := self.config.reference.get("age"):
+            ages = self.reference().select(F.lit(AGE).alias("designator"), F.col(age).cast("double").alias("value"), F.lit(-1).alias("ord"))
+            values = values.unionByName(ages, allowMissingColumns=True)
+        limits = {"ref_lower": "lower", "ref_upper": "upper"} if o.include_ref_ranges else {}
+        breaks = learn_breaks(values, quantizer=o.quantizer, detect_discrete=o.detect_discrete, ordinal="ord", **limits)
+        statics = self._statics(breaks)
         binned = with_bins(events, breaks, bin_words(o.quantizer), o.fused_category_values)
         words = (
             binned.select(F.explode("words").alias("word"), F.lit(0).alias("s"))
@@ -253,9 +272,9 @@ class TimelineTokenizer:
             lists = ellipsis(collect_timelines(tokens), o.max_event_days, self.fixed.index("ELLIPSIS"))
             if o.include_time_spacing_tokens:
                 zipped = lists.select("sid", F.posexplode(F.arrays_zip("tokens", "words", "times")).alias("pos", "x"))
-                flat = zipped.select("sid", F.col("x.times").alias("ts"), F.lit(0).cast("long").alias("first_token"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("key"), "pos", F.col("x.words").alias("word"), F.col("x.tokens").alias("token"))
+                flat = zipped.select("sid", F.col("x.times").alias("ts"), F.lit(0).cast("long").alias("first_token"), F.lit(0).alias("ord"), F.struct(F.lit(0).cast("long").alias("key"), F.lit(1).alias("copy")).alias("key"), "pos", F.col("x.words").alias("word"), F.col("x.tokens").alias("token"))
                 lists = collect_timelines(with_spacers(flat, self.fixed))
-        statics = self._statics()
+        statics = self._statics(vocabulary.aux)
         ends = statics.select("sid", "start", "end", F.lit(0).alias("side"), F.posexplode("prefix").alias("pos", "word")).unionByName(
             statics.select("sid", "start", "end", F.lit(1).alias("side"), F.posexplode("suffix").alias("pos", "word"))
         )

@@ -457,12 +457,12 @@ select e.user_id as sid, cast(e.pos as int) as pos from e anti join (select * fr
 
 @query(_redacted_sql("3", "desc"))
 def redact_topk(spark, d):
-    return information.redact(numbered(spark, d), "value", k=3).select("sid", "pos")
+    return information.redact(numbered(spark, d), "value", k=3, how="max").select("sid", "pos")
 
 
 @query(_redacted_sql("floor(0.25 * n)", "asc"))
 def redact_pct(spark, d):
-    return information.redact(numbered(spark, d), "value", pct=0.25, method="bottom").select("sid", "pos")
+    return information.redact(numbered(spark, d), "value", pct=0.25, method="bottom", how="max").select("sid", "pos")
 
 
 @query(f"with {NUMBERED} select user_id as sid, cast(pos as int) as pos, round(-ln(1 / (1 + value)) / ln(2) * (pos > 0)::int, 6) as bits from e")
@@ -698,13 +698,13 @@ def anti_new_codes(spark, d):
 
 
 @query("""
-select p_partkey, p_brand, n from (select p_partkey, p_brand from part where p_size > 10)
-full join (select l_partkey, count(*) as n from lineitem where l_quantity > 25 group by l_partkey) on p_partkey = l_partkey where p_partkey is not null
+select coalesce(p_partkey, l_partkey) as p_partkey, p_brand, n from (select p_partkey, p_brand from part where p_size > 10)
+full join (select l_partkey, count(*) as n from lineitem where l_quantity > 25 group by l_partkey) on p_partkey = l_partkey
 """)
 def full_outer_dim(spark, d):
     part = read_table(spark, d, "part").where("p_size > 10").select("p_partkey", "p_brand")
     used = read_table(spark, d, "lineitem").where("l_quantity > 25").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return part.join(used, part["p_partkey"] == used["l_partkey"], "full").where("p_partkey is not null").drop("l_partkey")
+    return part.join(used.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "full")
 
 
 @query("""
@@ -932,9 +932,50 @@ def attention_importance(spark, d):
     return attention.importance(attention_rows(spark, d), window=4).select("sid", "j", F.round("importance", 6).alias("importance"))
 
 
-@query()
+def two_heads(rows: DataFrame) -> DataFrame:
+    return rows.unionByName(rows.withColumn("head", F.lit(1)).withColumn("a", F.col("a") * F.col("a")))
+
+
+ROLLOUT_SQL = f"""
+{ATTENTION_SQL}, heads as (select * from att union all select sid, layer, 1, i, j, a * a from att), n as (select sid, max(i) + 1 as n from att group by sid),
+m as (select g.sid, layer, head, g.i, g.j, (coalesce(a, 0) + (g.i = g.j)::int) / 2 as v
+      from (select sid, layer, head, i, j from n, unnest(range(0, 2)) as l(layer), unnest(range(0, 2)) as h(head), unnest(range(0, n)) as x(i), unnest(range(0, n)) as y(j)) g
+      left join heads using (sid, layer, head, i, j)),
+r as (select late.sid, late.head, late.i, early.j, sum(late.v * early.v) as r from m late join m early
+      on late.sid = early.sid and late.head = early.head and late.j = early.i and late.layer = 1 and early.layer = 0 group by all)
+"""
+
+
+@query(f"with {ROLLOUT_SQL} select sid, cast(head as int) as head, i, j, round(r, 6) as r from r")
 def attention_rollout(spark, d):
-    return attention.rollout(attention_rows(spark, d))
+    return attention.rollout(two_heads(attention_rows(spark, d))).withColumn("r", F.round("r", 6))
+
+
+@query(f"with {ROLLOUT_SQL}, k as (select sid, head, j, sum(r) as s from r group by all) select sid, j, round(avg(s), 6) as importance from k group by all")
+def attention_rollout_mean(spark, d):
+    return attention.metric(two_heads(attention_rows(spark, d)), "rollout-mean").withColumn("importance", F.round("importance", 6))
+
+
+@query(f"with {ATTENTION_SQL}, k as (select sid, layer, head, j, sum(a * (i + 1)) as s from att where i - j < 10 group by all) select sid, cast(j as int) as j, round(avg(s), 6) as importance from k group by all")
+def attention_window_value_aware(spark, d):
+    rows = attention_rows(spark, d).withColumn("v_norm", (F.col("i") + 1).cast("double"))
+    return attention.metric(rows, "scissorhands-va-10").select("sid", "j", F.round("importance", 6).alias("importance"))
+
+
+@query(f"with {ATTENTION_SQL}, k as (select sid, layer, head, j, sum(abs(a) * (i + 2)) as s from att group by all) select sid, cast(j as int) as j, round(avg(s), 6) as importance from k group by all")
+def attention_normed(spark, d):
+    rows = attention_rows(spark, d).withColumn("f_norm", (F.col("i") + 2).cast("double"))
+    return attention.metric(rows, "h2o-normed-mean").select("sid", "j", F.round("importance", 6).alias("importance"))
+
+
+@query("""
+with l as (select event_id, case when user_id % 3 = 0 then null else user_id end as user_id, ts from events where event_type = 'error'),
+r as (select case when user_id % 3 = 0 then null else user_id end as user_id, ts, event_id from events where event_type = 'purchase')
+select l.event_id, r.ts as p_ts, r.event_id as p_event from l asof left join r on l.user_id = r.user_id and l.ts >= r.ts
+""")
+def asof_null_keys(spark, d):
+    left, right = (x.withColumn("user_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id"))) for x in _kinds(spark, d))
+    return joins.asof_join(left, right, "user_id", "ts", "p_ts", ["p_event"]).select("event_id", "p_ts", "p_event")
 
 
 @query(f"with {ATTENTION_SQL}, k as (select sid, head, j, sum(a) as s from att where layer = 1 group by all) select sid, cast(j as int) as j, round(avg(s), 6) as importance from k group by all")
