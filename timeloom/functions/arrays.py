@@ -57,3 +57,14 @@ def log_softmax_at(logits: Column, index: Column) -> Column:
     most = F.array_max(logits)
     total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - most))
     return F.get(logits, index) - most - F.log(total)
+
+
+def cut_to_left(tokens: Column, pad: Column, share: Column) -> Column:
+    """Keeps a share (in [0, 1), one token at least) of the tokens before the first pad token, padded on the left to the old length.
+
+    A uniform ``share``, such as one from a hash of the row's key, cuts timelines at random.
+    """
+    at = F.array_position(tokens, pad).cast("int")
+    real = F.when(at > 0, at - 1).otherwise(F.size(tokens))
+    kept = F.least(F.floor(real * share).cast("int") + 1, real)
+    return F.concat(F.array_repeat(pad, F.size(tokens) - kept), F.slice(tokens, F.lit(1), kept))

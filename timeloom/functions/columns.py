@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -97,3 +97,27 @@ def all_of(predicates: list[str] | str | None) -> Column:
 
 def any_null_or_nan(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, [c.isNull() | F.isnan(c) for c in columns])
+
+
+def micros_between(start: Column, end: Column) -> Column:
+    """Duration in microseconds as a double."""
+    return (micros(end) - micros(start)).cast("double")
+
+
+def parsed_time(text: Column, pattern: str | None = None) -> Column:
+    """Timestamp without zone from text; null where it doesn't parse."""
+    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz") if pattern else F.try_to_timestamp(text).cast("timestamp_ntz")
+
+
+def split_at(text: Column, separator: str, i: int) -> Column:
+    """Part i, from 0, between literal separators; null where there is none."""
+    return F.get(F.split(text, "\\Q" + separator + "\\E"), F.lit(i))
+
+
+def piece(text: Column, offset: int, length: int) -> Column:
+    """Characters from ``offset``, counted from 0."""
+    return F.substring(text, offset + 1, length)
+
+
+def float_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if f.dataType.typeName() in ("float", "double")]

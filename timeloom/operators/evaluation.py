@@ -199,3 +199,29 @@ def probability(vector: Column) -> Column:
     from pyspark.ml.functions import vector_to_array
 
     return vector_to_array(vector)[1]
+
+
+def classification_metrics(df: DataFrame, logits: str, y: str = "y") -> DataFrame:
+    """Accuracy, precision, recall, F1 (0 where undefined) and AUC from two logits; a row is positive where the second is the larger."""
+    gap = F.get(F.col(logits), F.lit(1)).cast("double") - F.get(F.col(logits), F.lit(0)).cast("double")
+    rows = df.select(F.col(y).cast("int").alias("y"), gap.alias("score"))
+    hat, pos = F.col("score") > 0, F.col("y") == 1
+    tp, fp, fn = (F.count_if(c).cast("double") for c in (hat & pos, hat & ~pos, ~hat & pos))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    one = rows.agg(
+        F.avg((hat == pos).cast("double")).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1")
+    )
+    return one.crossJoin(F.broadcast(roc_auc(rows)))  # one row each; the softmax orders rows as the gap of its logits does
+
+
+def synthetic_predictions(spark, n: int, models: int = 1, share_positive: float = 0.8, seed: int = 42) -> DataFrame:
+    """id, y, s0, s1, ...: labels cut from a uniform number, scores that number with noise that grows by model, within 0 and 1.
+
+    With more than two models the last one's scores are shrunk by 0.975.
+    """
+    rows = spark.range(n).withColumn("u", F.rand(seed))
+    scores = []
+    for i in range(models):
+        s = F.greatest(F.least(F.col("u") + F.randn(seed + 1 + i) * ((2 * i + 5) / 27), F.lit(1.0)), F.lit(0.0))
+        scores.append((s * 0.975 if models > 2 and i == models - 1 else s).alias(f"s{i}"))
+    return rows.select("id", (F.col("u") > 1 - share_positive).cast("int").alias("y"), *scores)

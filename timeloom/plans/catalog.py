@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timeloom.functions import arrays, columns
-from timeloom.operators import attention, evaluation, information, islands, joins, lookups, outcomes, quantize, split, timeline, vocab
+from timeloom.operators import attention, cohort, evaluation, information, islands, joins, lookups, outcomes, quantize, split, timeline, vocab
 from timeloom.sources.config import TimelineConfig
 from timeloom.sources.tables import load, ravel, read_table
 
@@ -1061,3 +1061,136 @@ def predicate_counts(spark, d):
         F.count_if("signed").alias("n_semi"), F.count_if((F.greatest("value", F.lit(50.0)) > 60) | F.col("event_type").isNull()).alias("n_reduced"),
         F.countDistinct("user_id").alias("n_users"), F.count_if(F.col("event_type").startswith("p")).alias("n_prefix"), F.count_if(F.col("value").between(10, 20)).alias("n_between"),
     )
+
+
+# ---------------------------------------------------------------- cohorts, predictions, completions
+
+
+@query("""
+select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, epoch_ms(o_orderdate) as start_ms from orders
+where o_custkey % 90 >= 18 and o_orderdate between timestamp '1994-01-01' and timestamp '1996-12-31'
+""")
+def eligible_window(spark, d):
+    orders = read_table(spark, d, "orders").withColumn("age", F.col("o_custkey") % 90)
+    out = cohort.eligible(orders, age="age", start="o_orderdate", ids=["o_orderkey", "o_custkey"], window=("1994-01-01", "1996-12-31"))
+    return out.select("o_orderkey", "o_custkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("start_ms"))
+
+
+@query("""
+with f as (select user_id as sid, bool_or(event_type = 'purchase') as a, bool_or(event_type = 'purchase' and ts < timestamp '2024-01-08') as a_24h, bool_or(event_type = 'error') as b, avg(value) as s from events group by user_id),
+l as (select sid, 'a' as outcome, not a_24h as qualifies, a as label, s from f union all select sid, 'b', true, b, s from f)
+select sid, outcome, qualifies, label, case when qualifies then round(s, 6) end as score from l
+""")
+def predictions_long(spark, d):
+    is_ = lambda k: F.col("event_type") == k
+    early = is_("purchase") & (F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz"))
+    flags = events_of(spark, d).groupBy(F.col("user_id").alias("sid")).agg(
+        F.bool_or(is_("purchase")).alias("a"), F.bool_or(early).alias("a_24h"), F.bool_or(is_("error")).alias("b"), F.round(F.avg("value"), 6).alias("s")
+    )
+    scores = flags.select("sid", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("outcome"), F.col("s").alias("score"))
+    return cohort.predictions(cohort.qualified(flags, ["a", "b"], always=("b",)), scores)
+
+
+@query("""
+with q as (select quantile_cont(value, 0.95) as lo, quantile_cont(value, 0.99) as hi from events)
+select user_id, count(*) filter (where value >= hi) as n_top, count(*) filter (where value >= lo and value < hi) as n_band from events, q group by user_id
+""")
+def band_counts(spark, d):
+    return cohort.band_counts(events_of(spark, d), "user_id", "value")
+
+
+@query("""
+select event_id, user_id from (select event_id, user_id, row_number() over (order by event_id) as r, count(*) over () as n from events) where r <= floor(n * 0.1)
+""")
+def first_tenth(spark, d):
+    return cohort.first_share(events_of(spark, d).select("event_id", "user_id"), 0.1, "event_id")
+
+
+@query("""
+with c as (select user_id as sid, date_trunc('day', ts) as day, list(event_type) as t from events group by all),
+v as (select sid, count(*) as n, count(*) filter (where list_contains(t, 'purchase')) as n_ended, round(avg(list_contains(t, 'error')::int), 6) as vote,
+      round(avg(list_contains(t, 'error')::int) filter (where list_contains(t, 'purchase')), 6) as vote_ended from c group by sid) select * from v
+""")
+def completion_votes(spark, d):
+    out = cohort.completion_votes(_daily_lists(spark, d), "t", "purchase", "error")
+    return out.select("sid", "n", "n_ended", F.round("vote", 6).alias("vote"), F.round("vote_ended", 6).alias("vote_ended"))
+
+
+def _daily_lists(spark, d):
+    return events_of(spark, d).groupBy(F.col("user_id").alias("sid"), F.date_trunc("DAY", "ts").alias("day")).agg(F.collect_list("event_type").alias("t"))
+
+
+@query("""
+with c as (select user_id as sid, date_trunc('day', ts) as day, list(event_type) as t from events group by all),
+v as (select sid, bool_and(list_contains(t, 'purchase')) as every from c group by sid)
+select round(avg(list_contains(t, 'purchase')::int), 6) as share_ended, sum(len(t))::bigint as n_tokens, round(avg(len(t)), 6) as mean_length, round(stddev_pop(len(t)), 6) as std_length,
+       (select round(avg(every::int), 6) from v) as share_all_ended from c
+""")
+def completion_summary(spark, d):
+    out = cohort.completion_summary(_daily_lists(spark, d), "t", "purchase", "error")
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.select(r("share_ended"), "n_tokens", r("mean_length"), r("std_length"), r("share_all_ended"))
+
+
+@query("""
+with c as (select user_id as sid, date_trunc('day', ts) as day, list(event_type) as t from events group by all)
+select count(*) as n_timelines, sum(len(t))::bigint as n_tokens, round(avg(len(t)), 6) as mean_length from c
+""")
+def token_totals(spark, d):
+    return cohort.token_totals(_daily_lists(spark, d), "t").withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query("""
+with i as (select o_custkey, o_orderstatus, count(*) as n from orders group by all) select o_orderstatus, sum(n)::bigint as total, count(*) as n_groups from i group by o_orderstatus
+""")
+def reaggregated_counts(spark, d):
+    return cohort.reaggregate(read_table(spark, d, "orders").withColumn("one", F.lit(1)), ["o_custkey", "o_orderstatus"], ["o_orderstatus"], "one")
+
+
+@query("""
+select user_id, max(ts)::varchar[1:19] as last_ts, max_by(event_id, {'t': ts, 'e': event_id}) as event_id from events group by user_id
+""".replace("max(ts)::varchar[1:19]", "strftime(max(ts), '%Y-%m-%d %H:%M:%S')"))
+def latest_event(spark, d):
+    return cohort.latest(events_of(spark, d), "user_id", "ts", ["event_id"]).select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_ts"), "event_id")
+
+
+@query("""
+select 'high' as split, event_type, count(*) as n from events where value > 60 group by all union all select 'low', event_type, count(*) from events where value <= 60 group by all
+""")
+def provenance_union(spark, d):
+    events = events_of(spark, d)
+    return cohort.with_provenance({"high": events.where("value > 60"), "low": events.where("value <= 60")}).groupBy("split", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+select distinct o_custkey as user_id from orders where o_custkey is not null union select user_id from events
+""")
+def key_union(spark, d):
+    orders = read_table(spark, d, "orders").where("o_custkey is not null").select(F.col("o_custkey").alias("user_id"))
+    return cohort.all_keys([orders, events_of(spark, d)], "user_id")
+
+
+@query("""
+select o_orderkey, split_part(o_orderpriority, '-', 1) as level, nullif(split_part(o_orderpriority, '-', 3), '') as third, substr(o_orderpriority, 1, 1) as c0,
+       strftime(strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y'), '%Y-%m-%d') as parsed, (epoch_us(o_orderdate) - epoch_us(timestamp '1990-01-01'))::double as since, round_even(o_totalprice, 0) as price from orders
+""")
+def parsed_fields(spark, d):
+    text, p = F.date_format("o_orderdate", "dd/MM/yyyy"), F.col("o_orderpriority")
+    return read_table(spark, d, "orders").select(
+        "o_orderkey", columns.split_at(p, "-", 0).alias("level"), columns.split_at(p, "-", 2).alias("third"), columns.piece(p, 0, 1).alias("c0"),
+        F.date_format(columns.parsed_time(text, "dd/MM/yyyy"), "yyyy-MM-dd").alias("parsed"),
+        columns.micros_between(F.lit("1990-01-01").cast("timestamp_ntz"), F.col("o_orderdate")).alias("since"), F.bround("o_totalprice", 0).alias("price"),
+    )
+
+
+@query("""
+with r as (select (label % 2 = 0)::int as y, embedding[2]::double - embedding[1]::double as s from embeddings),
+c as (select count(*) filter (where s > 0 and y = 1)::double as tp, count(*) filter (where s > 0 and y = 0)::double as fp, count(*) filter (where s <= 0 and y = 1)::double as fn, count(*) as n, sum(y)::double as p from r),
+m as (select sum(k) filter (where y = 1) as ranks from (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 as k from r))
+select round((n - fp - fn) / n, 6) as accuracy, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1,
+       round((ranks - p * (p + 1) / 2) / (p * (n - p)), 6) as roc_auc from c, m
+""")
+def sequence_classification(spark, d):
+    rows = read_table(spark, d, "embeddings").select(F.slice("embedding", 1, 2).alias("logits"), (F.col("label") % 2 == 0).cast("int").alias("y"))
+    out = evaluation.classification_metrics(rows, "logits")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])

@@ -28,6 +28,35 @@ def read_csv_tables(spark: SparkSession, names: dict[str, str], *, sep: str = ",
     return {name: read_csv(spark, path, sep=sep) for name, path in names.items()}
 
 
+def read_csv_folder(spark: SparkSession, folder: str, *, sep: str = ",", ending: str = ".csv.gz") -> dict[str, DataFrame]:
+    """All delimited files below a folder as tables of strings, by file name without its ending; names must differ."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found: dict[str, str] = {}
+    while files.hasNext():
+        at = files.next().getPath()
+        name = at.getName()
+        if name.endswith(ending):
+            name = name[: -len(ending)]
+            if name in found:
+                raise ValueError(f"two files are named {name}{ending}")
+            found[name] = at.toString()
+    return read_csv_tables(spark, dict(sorted(found.items())), sep=sep)
+
+
+def read_filtered(spark: SparkSession, path: str, columns: list[str], isin: dict[str, list] | None = None) -> DataFrame:
+    """Some columns of the rows whose columns have one of the given values; both reach the scan."""
+    df = spark.read.parquet(path)
+    for name, values in (isin or {}).items():
+        df = df.where(F.col(name).isin(*values))
+    return df.select(*columns)
+
+
+def read_splits(spark: SparkSession, paths: dict[str, str], columns: dict[str, str]) -> dict[str, DataFrame]:
+    """A table per split, its columns under new names."""
+    return {name: spark.read.parquet(path).select(*[F.col(old).alias(new) for old, new in columns.items()]) for name, path in paths.items()}
+
+
 def register_views(frames: dict[str, DataFrame]) -> None:
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
