@@ -131,37 +131,43 @@ class Model:
         self.soft, self.bias = rng.uniform(-0.5, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
         self.emb_sq, self.soft_sq, self.bias_sq = np.full(1 << bits, 1e-8, np.float32), np.full((dim, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
 
-    def forward(self, rows: list[tuple[Bag, int]]) -> tuple[np.ndarray, ...]:
-        """Class shares, means, rows, weight and text of each n-gram."""
-        sizes = np.array([len(g) for (g, _), _ in rows])
-        flat = np.concatenate([g for (g, _), _ in rows])
-        weight = np.concatenate([n / n.sum() for (_, n), _ in rows]).astype(np.float32)
-        text = np.repeat(np.arange(len(rows)), sizes)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        mean = np.add.reduceat(self.emb[flat] * weight[:, None], starts, axis=0)
+    def forward(self, rows: list[tuple[Bag, int]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Class shares, means, and the weights of each text's n-grams."""
+        weights = [(n / n.sum()).astype(np.float32) for (_, n), _ in rows]
+        mean = np.stack([w @ self.emb.take(g, axis=0) for w, ((g, _), _) in zip(weights, rows)])
         z = mean @ self.soft + self.bias
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
-        return p / p.sum(axis=1, keepdims=True), mean, flat, weight, text
+        return p / p.sum(axis=1, keepdims=True), mean, weights
 
     def loss(self, rows: list[tuple[Bag, int]]) -> float:
         p = self.forward(rows)[0]
         return float(-np.log(np.maximum(p[np.arange(len(rows)), [y for _, y in rows]], 1e-12)).mean())
 
-    def gradients(self, rows: list[tuple[Bag, int]]) -> tuple[np.ndarray, ...]:
-        """Rows in use and their gradients, gradients of softmax and bias, of the mean loss."""
-        p, mean, flat, weight, text = self.forward(rows)
+    def slopes(self, rows: list[tuple[Bag, int]]) -> tuple[np.ndarray, ...]:
+        """Rows in use, their slopes, the direction of all of them, and the gradients of softmax and bias, of the mean loss.
+
+        With two classes the errors are ``(-e, e)``, so the gradient of any
+        embedding is a multiple of the difference of the softmax columns.
+        """
+        p, mean, weights = self.forward(rows)
         p[np.arange(len(rows)), [y for _, y in rows]] -= 1
         p /= len(rows)
-        per = (p @ self.soft.T)[text] * weight[:, None]
-        used, where = np.unique(flat, return_inverse=True)
-        grad = np.stack([np.bincount(where, weights=per[:, d], minlength=len(used)) for d in range(per.shape[1])], axis=1).astype(np.float32)
-        return used, grad, mean.T @ p, p.sum(axis=0)
+        flat = np.concatenate([g for (g, _), _ in rows])
+        slope = np.bincount(flat, weights=np.concatenate([w * e for w, e in zip(weights, p[:, 1])]), minlength=len(self.emb))
+        used = np.flatnonzero(slope != 0)
+        return used, slope[used].astype(self.emb.dtype), self.soft[:, 1] - self.soft[:, 0], mean.T @ p, p.sum(axis=0)
+
+    def gradients(self, rows: list[tuple[Bag, int]]) -> tuple[np.ndarray, ...]:
+        """Rows in use and their gradients, gradients of softmax and bias, of the mean loss."""
+        used, slope, way, grad_soft, grad_bias = self.slopes(rows)
+        return used, np.outer(slope, way), grad_soft, grad_bias
 
     def step(self, rows: list[tuple[Bag, int]]) -> None:
-        used, grad, grad_soft, grad_bias = self.gradients(rows)
-        self.emb_sq[used] += (grad**2).mean(axis=1)
-        self.emb[used] -= self.rate * grad / np.sqrt(self.emb_sq[used])[:, None]
+        used, slope, way, grad_soft, grad_bias = self.slopes(rows)
+        sums = self.emb_sq[used] + slope**2 * (way**2).mean()
+        self.emb_sq[used] = sums
+        self.emb[used] = self.emb.take(used, axis=0) - np.outer(self.rate * slope / np.sqrt(sums), way)
         self.soft_sq += grad_soft**2
         self.soft -= self.rate * grad_soft / np.sqrt(self.soft_sq)
         self.bias_sq += grad_bias**2
