@@ -93,6 +93,15 @@ def test_anchors_stand_for_every_window():
     assert all(a - 30 <= s <= e <= a for a, s, e in zip(at.tolist(), lo.tolist(), hi.tolist()))
 
 
+def test_anchors_are_dealt_evenly():
+    """Anchors are the smallest hashes of their windows: dealt by these, the first buckets would get sixteen times the mean."""
+    rng = np.random.default_rng(5)
+    hashes = suffixes.anchors([rng.integers(97, 123, 400_000).astype(np.uint8).tobytes()])[0]
+    for buckets in (50, 600):
+        sizes = np.bincount(repeats.dealt(hashes, buckets)[0], minlength=buckets)
+        assert sizes.max() < 2.5 * sizes.mean()
+
+
 def test_radix_groups_are_those_of_equal_strings():
     rng = np.random.default_rng(3)
     data = rng.integers(0, 2, 4000).astype(np.uint8)

@@ -65,6 +65,16 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def _even(hashes: np.ndarray) -> np.ndarray:
+    """The hashes of anchors, dealt evenly: anchors are the smallest of their windows, so their own hashes crowd near zero.
+
+    One to one: different hashes stay different.
+    """
+    x = hashes * np.uint64(0x9FB21C651E98DF25)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
 def _anchors_of(data: bytes, ends: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchors of the windows of joined pieces that end at ``ends``: hash, position, first and last window start."""
     none = np.zeros(0, np.int64)
@@ -82,7 +92,7 @@ def _anchors_of(data: bytes, ends: np.ndarray, depth: int, gram: int) -> tuple[n
     first = np.flatnonzero(new)
     at, lo = at[first], starts[first]
     hi = np.append(starts[first[1:] - 1], starts[-1:])
-    return grams[at], at, lo, hi
+    return _even(grams[at]), at, lo, hi
 
 
 def anchors(texts: list[bytes], depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -232,6 +242,22 @@ def _send_blocks(chunk: repeats.Chunk, buckets: int, blocks: int, depth: int, gr
         yield int(bucket[order[a]]), pack.compress(b"".join([*(x.tobytes() for x in parts), *(x[1:] for x in texts)]))
 
 
+def _parts(blocks: np.ndarray, windows: np.ndarray, off: np.ndarray, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The windows (block, number in the block) of some blocks, in parts that no two equal windows are parted by.
+
+    More than one sort may hold go by the anchor's place in them, from 0 to ``last``: one window of a block at most.
+    """
+    if int(windows[blocks].sum()) <= SORT_WINDOWS:
+        of = np.repeat(blocks, windows[blocks])
+        yield of, np.arange(len(of)) - np.repeat(np.cumsum(windows[blocks]) - windows[blocks], windows[blocks])
+        return
+    for place in range(last + 1):
+        bit = off[blocks] - place
+        own = (bit >= 0) & (bit < windows[blocks])
+        if own.any():
+            yield blocks[own], bit[own]
+
+
 def _decide_blocks(packed: list[bytes], depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """id, checksum and answer of the documents of one bucket that lose windows."""
     unpack = zstandard.ZstdDecompressor()
@@ -274,12 +300,11 @@ def _decide_blocks(packed: list[bytes], depth: int, gram: int) -> tuple[np.ndarr
         n = int(np.searchsorted(of_gram[rest[at:]], of_gram[rest[at + min(n, len(rest) - at) - 1]], side="right"))
         part = rest[at : at + n]
         at += n
-        of = np.repeat(part, windows[part])
-        bit = np.arange(len(of)) - np.repeat(np.cumsum(windows[part]) - windows[part], windows[part])
-        # the anchor's place in a window is part of what equal windows share
-        same = radix_groups(data, start[of] + bit, np.full(len(of), depth), of_gram[of] * 64 + off[of] - bit, owner[of])
-        hit = owner[of] > least_owner(same, owner[of])
-        np.bitwise_or.at(mask, of[hit], np.uint64(1) << bit[hit].astype(np.uint64))
+        for of, bit in _parts(part, windows, off, depth - gram):
+            # the anchor's place in a window is part of what equal windows share
+            same = radix_groups(data, start[of] + bit, np.full(len(of), depth), of_gram[of] * 64 + off[of] - bit, owner[of])
+            hit = owner[of] > least_owner(same, owner[of])
+            np.bitwise_or.at(mask, of[hit], np.uint64(1) << bit[hit].astype(np.uint64))
     # blocks equal to a sorted one have its windows, too: theirs are all repeated if their owner is larger
     leader = np.empty(int(group.max()) + 1 if n_blocks else 0, np.int64)
     leader[group[lead]] = lead
