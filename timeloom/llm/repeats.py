@@ -84,7 +84,7 @@ class Chunk:
         self.found: list[bytes] = [r[3] for r in rows]
 
 
-def doc_chunks(batches: Iterator[pa.RecordBatch], body: str) -> Iterator[Chunk]:
+def doc_chunks(batches: Iterator[pa.RecordBatch], body: str, most: int = PACK_BYTES) -> Iterator[Chunk]:
     """Chunks of rows (__id, __rk, body[, found]); __body is unpacked."""
     rows: list[tuple] = []
     total = 0
@@ -94,7 +94,7 @@ def doc_chunks(batches: Iterator[pa.RecordBatch], body: str) -> Iterator[Chunk]:
             text = unpacked(b.as_py()) if body == "__body" else (b.as_buffer() or b"")
             rows.append((i.as_py(), k.as_py(), bytes(text), f and f.as_py()))
             total += len(rows[-1][2])
-            if total >= PACK_BYTES or len(rows) == PACK_DOCS:
+            if total >= most or len(rows) == PACK_DOCS:
                 yield Chunk(rows)
                 rows, total = [], 0
     if rows:

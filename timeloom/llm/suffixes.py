@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from timeloom.llm import repeats
 from timeloom.llm.substrings import covered_at, rolling
-from timeloom.llm.text import Carried
+from timeloom.llm.text import UNKNOWN_BYTES, Carried, input_bytes, shuffle_partitions
 
 DEPTH = 50
 GRAM = 20
@@ -52,7 +52,13 @@ _PLACE = np.uint64((1 << 21) - 1)  # position inside a segment
 #: Windows that one radix sort works on at a time.
 SORT_WINDOWS = 1 << 18
 #: Buckets of blocks for each bucket of hashes: a block takes more memory than a hash.
-BLOCK_BUCKETS = 6
+BLOCK_BUCKETS = 2
+#: Text bytes whose blocks are packed together: blocks of few entries take more of the disk.
+SEND_BYTES = 8 << 20
+#: Input bytes (as Catalyst estimates them) of a bucket of hashes: with smaller ones, too, blocks have few entries.
+BUCKET_BYTES = 7 << 20
+#: So many buckets keep all cores busy, also where the input is small.
+LEAST_BUCKETS = 64
 
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -175,8 +181,6 @@ def least_owner(group: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return least[group]
 
 
-#: An entry: a document's windows at ``times`` places, ``windows`` apart, all with one block.
-_ENTRY = np.dtype([("doc", "<u2"), ("block", "<u4"), ("lo", "<u4"), ("times", "<u4")])
 #: An answer: the windows that start at lo + a bit of the mask, and so on ``times`` times, ``windows`` apart.
 _ANSWER = np.dtype([("lo", "<u4"), ("mask", "<u8"), ("windows", "u1"), ("times", "<u4")])
 
@@ -224,6 +228,7 @@ def _send_blocks(chunk: repeats.Chunk, buckets: int, blocks: int, depth: int, gr
         said = _answers(lo[known], _ones(windows[known]), windows[known], times[known])
         for to, block in repeats.packed_answers(ids[known], chunk.rks[doc[known]], said, buckets):
             yield -1 - to, block
+    # an entry: a document's windows at ``times`` places, ``windows`` apart, all with one block
     pack = zstandard.ZstdCompressor(level=3)
     ask = np.flatnonzero(~known)
     bucket = repeats.dealt(hashes[ask], blocks)[0]
@@ -233,13 +238,12 @@ def _send_blocks(chunk: repeats.Chunk, buckets: int, blocks: int, depth: int, gr
         part = ask[order[a:b]]
         docs_here, own_doc = np.unique(doc[part], return_inverse=True)
         used, own_block = np.unique(number[part], return_inverse=True)
-        entry = np.empty(len(part), _ENTRY)
-        entry["doc"], entry["block"], entry["lo"], entry["times"] = own_doc, own_block, lo[part], times[part]
         texts = [distinct[j] for j in used.tolist()]
-        extent = np.array([[len(x) - depth, x[0]] for x in texts], np.uint8)  # windows, offset of the anchor
-        head = np.array([len(docs_here), len(used), len(part)], np.int64)
-        parts = [head, chunk.ids[docs_here], chunk.rks[docs_here], extent, entry]
-        yield int(bucket[order[a]]), pack.compress(b"".join([*(x.tobytes() for x in parts), *(x[1:] for x in texts)]))
+        extent = [(len(x) - depth, x[0]) for x in texts]  # windows, offset of the anchor
+        counts = (len(docs_here), len(used), len(part))
+        numbers = [counts, repeats.steps(chunk.ids[docs_here]), *zip(*extent, strict=True), repeats.steps(own_doc), repeats.steps(own_block), lo[part], times[part]]
+        head = repeats.squeezed(np.concatenate(numbers)) + chunk.rks[docs_here].tobytes()
+        yield int(bucket[order[a]]), head + pack.compress(b"".join(x[1:] for x in texts))
 
 
 def _parts(blocks: np.ndarray, windows: np.ndarray, off: np.ndarray, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -261,21 +265,20 @@ def _parts(blocks: np.ndarray, windows: np.ndarray, off: np.ndarray, last: int)
 def _decide_blocks(packed: list[bytes], depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """id, checksum and answer of the documents of one bucket that lose windows."""
     unpack = zstandard.ZstdDecompressor()
-    ids, rks, extents, numbers, entries, bodies, n_blocks = [], [], [], [], [], [], 0
+    parts: tuple[list[np.ndarray], ...] = ([], [], [], [], [], [], [])
+    bodies, n_blocks = [], 0
     for one in packed:
-        data = unpack.decompress(one)
-        docs, blocks, n = np.frombuffer(data, np.int64, 3).tolist()
-        own_ids, own_rks = np.frombuffer(data, np.int64, 2 * docs, 24).reshape(2, docs)
-        extents.append(np.frombuffer(data, np.uint8, 2 * blocks, 24 + 16 * docs).reshape(blocks, 2))
-        entry = np.frombuffer(data, _ENTRY, n, 24 + 16 * docs + 2 * blocks)
-        bodies.append(data[24 + 16 * docs + 2 * blocks + entry.nbytes :])
-        ids.append(own_ids[entry["doc"]])
-        rks.append(own_rks[entry["doc"]])
-        numbers.append(entry["block"].astype(np.int64) + n_blocks)
-        entries.append(entry)
+        (numbers,), end = repeats.stretched(one, 1)
+        docs, blocks, n = numbers[:3].tolist()
+        own_ids, windows, off, doc, block, lo, times = np.split(numbers[3:], np.cumsum([docs, blocks, blocks, n, n, n]))
+        doc = np.cumsum(doc)
+        own_rks = np.frombuffer(one, np.int64, docs, end)
+        bodies.append(unpack.decompress(one[end + own_rks.nbytes :]))
+        for out, x in zip(parts, (np.cumsum(own_ids)[doc], own_rks[doc], np.cumsum(block) + n_blocks, windows, off, lo, times), strict=True):
+            out.append(x)
         n_blocks += blocks
-    ids, rks, number, entry = np.concatenate(ids), np.concatenate(rks), np.concatenate(numbers), np.concatenate(entries)
-    windows, off = np.concatenate(extents).astype(np.int64).T
+    ids, rks, number, windows, off, lo, times = (np.concatenate(x) for x in parts)
+    parts = ()
     data = np.frombuffer(b"".join(bodies), np.uint8)
     del bodies, packed
     length = windows + depth - 1
@@ -312,7 +315,7 @@ def _decide_blocks(packed: list[bytes], depth: int, gram: int) -> tuple[np.ndarr
     said = np.where(ids > least[own], _ones(windows[own]), mask[leader[group[own]]])
     hit = np.flatnonzero(said)
     own = own[hit]
-    return ids[hit], rks[hit], _answers(entry["lo"][hit], said[hit], windows[own], entry["times"][hit])
+    return ids[hit], rks[hit], _answers(lo[hit], said[hit], windows[own], times[hit])
 
 
 def window_starts(said: np.ndarray) -> np.ndarray:
@@ -329,11 +332,18 @@ def window_starts(said: np.ndarray) -> np.ndarray:
     return lo[entry] + bit
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets of hashes: by the size of the input, not by the shuffle partitions, once there are some."""
+    few = min(shuffle_partitions(docs.sparkSession), LEAST_BUCKETS)
+    size = input_bytes(docs)
+    return shuffle_partitions(docs.sparkSession) if size > UNKNOWN_BYTES else max(few, -(-size // BUCKET_BYTES))
+
+
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """``docs`` without ``text``, with n_bytes, n_removed, n_spans and kept (binary: what is left of the UTF-8 bytes)."""
     if not gram < depth <= gram + 62 or depth > 200:
         raise ValueError("depth must be above gram, by 62 at most, and not above 200")
-    buckets = repeats.bucket_count(docs)
+    buckets = bucket_count(docs)
     carried = Carried(docs)
     body = carried.of(text)
     rows = carried.df.select("*", *repeats.keyed(carried.df, carried.of(doc_id), body))
@@ -342,7 +352,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     dealt = repeats.packed_docs(rows, body).repartition(buckets, "__id", "__rk")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in repeats.doc_chunks(batches, "__body"):
+        for chunk in repeats.doc_chunks(batches, "__body", SEND_BYTES):
             yield repeats.blocks_batch(_send_blocks(chunk, buckets, BLOCK_BUCKETS * buckets, depth, gram))
 
     sent = dealt.join(may, ["__id", "__rk"]).mapInArrow(send, "bucket int, block binary")
